@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_store import read_store, write_store
+
+    store = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return read_store(spark, store)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
