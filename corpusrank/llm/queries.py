@@ -25,6 +25,12 @@ def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, store)
 
 
+def op3_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .isolation import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
