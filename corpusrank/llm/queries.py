@@ -49,6 +49,12 @@ def op6_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfair import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
