@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference import format_preferences, mismatched
+
+    turns = table(spark, sf_dir, "conversations")
+    return format_preferences(turns, mismatched(turns))
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -49,6 +56,18 @@ def op6_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_runs import dedup_line_runs
+
+    return dedup_line_runs(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfair import mix_schedule
 

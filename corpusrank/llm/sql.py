@@ -33,3 +33,34 @@ SELECT documents.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(co
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM e GROUP BY x) k USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id) m USING (doc_id)
 """
+
+ORACLES["op1_preference_format"] = """
+WITH a AS (SELECT conv_id, turn, role, text, role = 'assistant' AND turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS is_last FROM conversations),
+s AS (SELECT CASE WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE conv_id - 1 END AS conv_id, text AS swap FROM a WHERE is_last),
+b AS (SELECT a.conv_id, turn, role, CASE WHEN is_last THEN coalesce(swap, '') ELSE text END AS text FROM a LEFT JOIN s USING (conv_id)),
+f AS (SELECT a.conv_id, min(a.turn) AS fork FROM a JOIN b USING (conv_id, turn) WHERE a.text IS DISTINCT FROM b.text GROUP BY a.conv_id),
+p AS (SELECT a.conv_id, CASE WHEN fork IS NULL OR turn < fork THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM a LEFT JOIN f USING (conv_id)
+      UNION ALL SELECT b.conv_id, 'rejected', turn, role, text FROM b JOIN f USING (conv_id) WHERE turn >= fork)
+SELECT conv_id, part, turn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS train FROM p
+"""
+
+ORACLES["op7_line_runs"] = r"""
+WITH l AS (SELECT doc_id, j, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+           FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+n AS (SELECT doc_id, j, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE words > 0),
+one AS (SELECT doc_id, i FROM (SELECT doc_id, i, words, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS o FROM n) WHERE o > 1 AND words >= 30),
+w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM n),
+two AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS o FROM w WHERE next IS NOT NULL) WHERE o > 1),
+gone AS (SELECT * FROM one UNION SELECT * FROM two UNION SELECT doc_id, i + 1 FROM two),
+m AS (SELECT l.doc_id, l.j, l.line, n.i IS NOT NULL AS filled, gone.i IS NOT NULL AS gone FROM l LEFT JOIN n USING (doc_id, j) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i)
+SELECT doc_id, CAST(count(*) FILTER (filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_deleted,
+       coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id
+"""
+
+ORACLES["op8_html_extract"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS s FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(s, '[ \t\n\r\f\v]+', ' ', 'g'), '</?(?:h1|p|br)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS s FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS s FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
