@@ -117,6 +117,22 @@ SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def _write_automata(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list[str]:
+    """Files with the automata of the items' blocks, in the shared folder."""
+    from pyarrow import fs
+
+    paths = []
+    for items in _item_blocks(benchmark, item_col, item_text_col):
+        automaton = build_automaton(items, window)
+        if automaton is None:
+            continue
+        paths.append(new_path(benchmark.sparkSession, "automaton"))
+        system, at = fs.FileSystem.from_uri(paths[-1])
+        with system.open_output_stream(at) as file:
+            file.write(pickle.dumps(automaton))
+    return paths
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
@@ -129,19 +145,7 @@ def contamination(
     null id is kept as null.  Items without an id, or without words, match nothing; an empty
     benchmark leaves all clean.  Further columns of either table are ignored.
     """
-    from pyarrow import fs
-
-    spark = docs.sparkSession
-    paths = []
-    for items in _item_blocks(benchmark, item_col, item_text_col):
-        automaton = build_automaton(items, window)
-        if automaton is None:
-            continue
-        path = new_path(spark, "automaton")
-        system, at = fs.FileSystem.from_uri(path)
-        with system.open_output_stream(at) as file:
-            file.write(pickle.dumps(automaton))
-        paths.append(path)
+    paths = _write_automata(benchmark, item_col, item_text_col, window)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +157,19 @@ def contamination(
     return kept.mapInArrow(scan, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
-def _scan_piece(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, paths: list[str]) -> pa.RecordBatch:
-    out: dict[str, list] = defaultdict(list)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no benchmark window occurs; one scan, no shuffle."""
+    paths = _write_automata(benchmark, item_col, item_text_col, window)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in bt.pieces(batch, text_col, 16 << 20):
+                yield part.filter(pa.array([not f.runs for f in _hits(data, offsets, paths)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _hits(data: np.ndarray, offsets: np.ndarray, paths: list[str]) -> list[TextHits]:
     texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
     found = [TextHits(t, [_load(paths[0])] if paths else []) for t in texts]
     for path in paths[1:]:
@@ -163,6 +178,13 @@ def _scan_piece(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, pat
             more = TextHits(t, [automaton])
             hits.runs += more.runs
             hits.items |= more.items
+    return found
+
+
+def _scan_piece(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, paths: list[str]) -> pa.RecordBatch:
+    out: dict[str, list] = defaultdict(list)
+    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    found = _hits(data, offsets, paths)
     for t, hits in zip(texts, found):
         out["n_words"].append(hits.n_words)
         out["n_hit"].append(int(hits.hit().sum()) if hits.runs else 0)
