@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,17 +92,24 @@ def perplexity(p: Column) -> Column:
     return F.pow(F.lit(2.0), F.sum(F.when(p > 0, -p * F.log2(p)).otherwise(0.0)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(scores: Column, temperature: float = 0.5) -> Column:
     """Softmax of an array, its maximum subtracted first, scaled by ``temperature``."""
-    powers = F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) * temperature))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+
+    def shares(powers: Column) -> Column:
+        return bound(F.aggregate(powers, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(powers, lambda x: x / total))
+
+    return bound(scores, lambda s: bound(F.array_max(s), lambda top: bound(F.transform(s, lambda x: F.exp((x - top) * temperature)), shares)))
 
 
 def noun_score(probabilities: Column, observations: Column, word: Column, weight: float = 20.0) -> Column:
     """How surely a word is a proper noun: model score and an alphabetic prior; the denominator holds the score, as established."""
-    score = F.greatest(F.element_at(probabilities, 17), F.element_at(probabilities, 18))
     prior = F.rlike(word, F.lit(r"^\p{IsAlphabetic}*$")).cast("double")
-    return (score * observations + prior * weight) / (score + weight)
+    return bound(bound(probabilities, lambda p: F.greatest(F.element_at(p, 17), F.element_at(p, 18))), lambda score: (score * observations + prior * weight) / (score + weight))
 
 
 def span_mean(values: Column, pos: Column, width: Column) -> Column:
