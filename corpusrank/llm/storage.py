@@ -1,47 +1,13 @@
-"""Shared-folder helpers: intermediate tables that survive the loss of an executor."""
+"""Shared-folder helpers of the library, and keys for tables whose ids may repeat."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    global _own_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="corpusrank-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..storage import broadcast_if_small, materialise, new_path, shared_dir
 
-def broadcast_if_small(df: DataFrame, rows: int, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only where the counted rows stay under ``max_rows``; else Spark shuffles."""
-    return F.broadcast(df) if rows <= max_rows else df
+__all__ = ["broadcast_if_small", "materialise", "new_path", "shared_dir", "with_unique_key"]
 
 
 def with_unique_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
