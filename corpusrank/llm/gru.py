@@ -84,128 +84,182 @@ class Lanes:
             at += steps
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Model:
-    """Forward and backward passes over one window of steps."""
+    """Forward and backward passes over one window of steps.
+
+    Written for few passes over memory: gates are kept for a whole window, sums over a row are
+    matrix products, and what doesn't depend on the step before is computed for all steps at once.
+    Logits stay small enough (inputs are bounded, weights moderate) for exp without a shift; they
+    are clipped where they might not.
+    """
 
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat, self.p = shape, flat, shape.views(flat)
 
-    def recur(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def recur(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool = False) -> tuple[np.ndarray, np.ndarray, tuple | None]:
         """Hidden states for inputs ``x`` (steps, lanes); ``keep`` is 0 where a document starts."""
-        k = self.shape.hidden
+        k, steps = self.shape.hidden, len(x)
         gates = self.p["E"][x]
+        u = self.p["U"]
         out = np.empty((*x.shape, k), F32)
-        for t in range(len(x)):
-            before = h * keep[t][:, None]
-            g = before @ self.p["U"]
-            a = gates[t]
-            zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-            h = n + z * (before - n)
-            out[t] = h
-            if store is not None:
-                store.append((before, z, r, n, g[:, 2 * k :]))
-        return out, h
+        before = np.empty_like(out)
+        new = np.empty_like(out)
+        inner = np.empty_like(out)
+        fresh = keep.min(axis=1) == 0
+        for t in range(steps):
+            if fresh[t]:
+                h = h * keep[t][:, None]
+            before[t] = h
+            g = h @ u
+            zr = gates[t, :, : 2 * k]
+            zr += g[:, : 2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n = new[t]
+            inner[t] = g[:, 2 * k :]
+            np.multiply(zr[:, k:], inner[t], out=n)
+            n += gates[t, :, 2 * k :]
+            np.tanh(n, out=n)
+            h = out[t]
+            np.subtract(before[t], n, out=h)
+            h *= zr[:, :k]
+            h += n
+        return out, h.copy() if steps else h, (before, gates[:, :, :k], gates[:, :, k : 2 * k], new, inner) if store else None
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of targets ``y`` after states ``hs``: of the class, and of the word in its class; with ``grad``, also d/d hs of the mean loss."""
         p, n = self.p, len(y)
-        cls, word = y // CLASS_SIZE, y % CLASS_SIZE
+        order = np.argsort(y, kind="stable")
+        cls, word, hs = (y // CLASS_SIZE)[order], (y % CLASS_SIZE)[order], hs[order]
+        bounds = np.searchsorted(cls, np.arange(self.shape.words // CLASS_SIZE + 1))
         row = np.arange(n)
-        scores = hs @ p["Wc"] + p["bc"]
-        scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
-        total = e.sum(axis=1)
-        out = scores[row, cls] - np.log(total)
+        ones = np.ones(max(n, CLASS_SIZE, len(bounds)), F32)
+        # States lie within -1..1, so weights bound the logits.
+        small = max(np.abs(p["Wc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), np.abs(p["Wo"]).sum(axis=1).max() + np.abs(p["bo"]).max()) < 80
+
+        def softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            e = h @ weights
+            e += bias
+            if not small:
+                np.clip(e, -80, 80, out=e)
+            picked = e[rows, at]
+            np.exp(e, out=e)
+            total = e @ ones[: e.shape[1]]
+            return e, picked - np.log(total), total
+
+        def loss(e: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+            e *= (1 / (total * F32(n)))[:, None]
+            e[rows, at] -= F32(1 / n)
+
+        e, logs, total = softmax(hs, p["Wc"], p["bc"], cls, row)
         dh = None
         if grad is not None:
-            e /= total[:, None]
-            e[row, cls] -= 1
-            e /= n
+            loss(e, total, cls, row)
             grad["Wc"] += hs.T @ e
-            grad["bc"] += e.sum(axis=0)
+            grad["bc"] += ones[:n] @ e
             dh = e @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.shape.words // CLASS_SIZE + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            h, w, r = hs[at], word[at], np.arange(len(at))
-            scores = h @ p["Wo"][c] + p["bo"][c]
-            scores -= scores.max(axis=1, keepdims=True)
-            e = np.exp(scores)
-            total = e.sum(axis=1)
-            out[at] += scores[r, w] - np.log(total)
+            s = slice(bounds[c], bounds[c + 1])
+            rows = row[: bounds[c + 1] - bounds[c]]
+            e, more, total = softmax(hs[s], p["Wo"][c], p["bo"][c], word[s], rows)
+            logs[s] += more
             if grad is not None:
-                e /= total[:, None]
-                e[r, w] -= 1
-                e /= n
-                grad["Wo"][c] += h.T @ e
-                grad["bo"][c] += e.sum(axis=0)
-                dh[at] += e @ p["Wo"][c].T
-        return out, dh
+                loss(e, total, word[s], rows)
+                grad["Wo"][c] += hs[s].T @ e
+                grad["bo"][c] += ones[: len(e)] @ e
+                dh[s] += e @ p["Wo"][c].T
+        out = np.empty(n, F32)
+        out[order] = logs
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def gradient(self, x: np.ndarray, y: np.ndarray, there: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of the mean loss of one window, the state after it, and the loss."""
-        store: list = []
-        hs, last = self.recur(x, keep, h, store)
+        hs, last, kept = self.recur(x, keep, h, store=True)
+        before, z, r, n, inner = kept
         flat = np.zeros_like(self.flat)
         grad = self.shape.views(flat)
         logs, dh_there = self.log_probs(hs[there], y[there], grad)
         dhs = np.zeros_like(hs)
         dhs[there] = dh_there
         k = self.shape.hidden
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = inner * r * (1 - r)
         da, dg = np.empty((*x.shape, 3 * k), F32), np.empty((*x.shape, 3 * k), F32)
         carried = np.zeros_like(h)
         u = self.p["U"].T.copy()
+        fresh = keep.min(axis=1) == 0
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, gn = store[t]
-            dh = dhs[t] + carried
-            dan = dh * (1 - z) * (1 - n * n)
-            da[t, :, :k] = dh * (before - n) * z * (1 - z)
-            da[t, :, k : 2 * k] = dan * gn * r * (1 - r)
-            da[t, :, 2 * k :] = dan
-            dg[t, :, : 2 * k] = da[t, :, : 2 * k]
-            dg[t, :, 2 * k :] = dan * r
-            carried = (dh * z + dg[t] @ u) * keep[t][:, None]
-        befores = np.stack([s[0] for s in store])
-        grad["U"] += befores.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-        words = x.ravel()
-        order = np.argsort(words, kind="stable")
-        heads = np.flatnonzero(np.diff(words[order], prepend=-1))
-        grad["E"][words[order][heads]] = np.add.reduceat(da.reshape(-1, 3 * k)[order], heads, axis=0)
+            carried += dhs[t]
+            dan = da[t, :, 2 * k :]
+            np.multiply(carried, to_n[t], out=dan)
+            np.multiply(carried, to_z[t], out=dg[t, :, :k])
+            np.multiply(dan, to_r[t], out=dg[t, :, k : 2 * k])
+            np.multiply(dan, r[t], out=dg[t, :, 2 * k :])
+            carried *= z[t]
+            carried += dg[t] @ u
+            if fresh[t]:
+                carried *= keep[t][:, None]
+        da[:, :, : 2 * k] = dg[:, :, : 2 * k]
+        grad["U"] += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        place = (x.ravel()[:, None] * (3 * k) + np.arange(3 * k)).ravel()
+        grad["E"][:] = np.bincount(place, weights=da.ravel(), minlength=grad["E"].size).reshape(-1, 3 * k)
         return flat, last, -float(logs.mean())
 
 
+def segments(lengths: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the pieces of documents that are cut after every ``most`` tokens, in order."""
+    count = -(-lengths // most)
+    out = np.full(int(count.sum()), most, lengths.dtype)
+    ends = np.cumsum(count)
+    out[ends[count > 0] - 1] = (lengths - (count - 1) * most)[count > 0]
+    return out
+
+
 class Trainer:
-    """Adam over windows; the state of a lane goes from window to window, its gradient doesn't."""
+    """Adam over windows; the state of a lane goes from window to window, its gradient doesn't.
+
+    Documents are cut after every ``segment`` tokens, so that lanes are of equal length and windows
+    full; a segment begins without a state but with the token before it.
+    """
 
-    def __init__(self, model: Model, rate: float = 0.012, lanes: int = 128, steps: int = 24):
-        self.model, self.rate, self.lanes, self.steps = model, rate, lanes, steps
-        self.m, self.v, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
+    def __init__(self, model: Model, rate: float = 0.012, lanes: int = 256, steps: int = 24, segment: int = 480):
+        self.model, self.rate, self.lanes, self.steps, self.segment = model, rate, lanes, steps, segment
+        self.m, self.v, self.spare, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), np.empty_like(model.flat), 0
         self.seen, self.loss = 0, 0.0
 
     def learn(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
         """One pass over documents, given as all tokens (each document's end included) and lengths."""
-        lanes = Lanes(lengths, self.lanes)
-        y = tokens[lanes.index]
-        x = np.concatenate([[0], y[:-1]]) * ~lanes.first
+        lanes = Lanes(segments(lengths, self.segment), self.lanes)
+        previous = np.concatenate([[0], tokens[:-1]])
+        previous[np.cumsum(lengths) - lengths] = 0
+        x, y = previous[lanes.index], tokens[lanes.index]
         h = np.zeros((len(lanes.loads), self.model.shape.hidden), F32)
         for at, there in lanes.windows(self.steps):
             keep = (~lanes.first[at]).astype(F32)
             grad, h, loss = self.model.gradient(x[at], y[at], there, keep, h[: at.shape[1]])
-            norm = float(np.sqrt((grad * grad).sum()))
+            norm = float(np.sqrt(grad @ grad))
             if norm > 1:
-                grad /= F32(norm)
+                grad *= F32(1 / norm)
             self.t += 1
-            self.m += F32(0.1) * (grad - self.m)
-            self.v += F32(0.01) * (grad * grad - self.v)
-            scale = self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            self.model.flat -= F32(scale) * self.m / (np.sqrt(self.v) + F32(1e-8))
+            self.m *= F32(0.9)
+            self.v *= F32(0.99)
+            np.multiply(grad, grad, out=self.spare)
+            self.spare *= F32(0.01)
+            self.v += self.spare
+            grad *= F32(0.1)
+            self.m += grad
+            np.sqrt(self.v, out=self.spare)
+            self.spare += F32(1e-8)
+            np.divide(self.m, self.spare, out=self.spare)
+            self.spare *= F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+            self.model.flat -= self.spare
             self.seen += int(there.sum())
             self.loss += loss * int(there.sum())
 
@@ -218,7 +272,7 @@ def score(model: Model, tokens: np.ndarray, lengths: np.ndarray, lanes: int = 25
     h = np.zeros((len(dealt.loads), model.shape.hidden), F32)
     out = np.zeros(len(tokens), np.float64)
     for at, there in dealt.windows(steps):
-        hs, h = model.recur(x[at], (~dealt.first[at]).astype(F32), h[: at.shape[1]])
+        hs, h, _ = model.recur(x[at], (~dealt.first[at]).astype(F32), h[: at.shape[1]])
         logs, _ = model.log_probs(hs[there], y[at][there])
         out[dealt.index[at[there]]] = logs
     return out

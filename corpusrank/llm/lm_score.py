@@ -28,12 +28,14 @@ WORDS = 2048
 BINS = CLASS_SIZE - 1
 ROUNDS = 3
 CHUNK_WORDS = 400_000
+SCORE_WORDS = 2_000_000
+"""Tokens scored together: many documents a lane, so that lanes end at about the same step."""
 
 
 def _bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A bin by how a word looks: its last two bytes, and whether it is longer than eight bytes."""
-    low = bt._VALUES[True][data] >> U64(40)
-    last, before = low[ends - 1], np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], U64(0))
+    low = bt._VALUES[True] >> U64(40)
+    last, before = low[data[ends - 1]], np.where(ends - starts > 1, low[data[np.maximum(ends - 2, 0)]], U64(0))
     return (bt.mix(last * U64(31) + before + U64(7) * (ends - starts > 8).astype(U64)) % U64(BINS)).astype(np.uint8)
 
 
@@ -202,34 +204,54 @@ def _score_chunks(vocabulary: Vocabulary, flat: np.ndarray, shape: Shape, bucket
         from pyspark import TaskContext
 
         model, cid = Model(shape, flat), TaskContext.get().partitionId() << 32
+        held: list[_Piece] = []
         for batch in batches:
-            for part, data, offsets in bt.pieces(batch, "text", 6 << 20):
-                w = Words(data, offsets)
-                entry, count, there = vocabulary.look_up(w)
-                tokens, lengths = vocabulary.sequence(entry, w)
-                ends = np.cumsum(lengths)
-                logs = np.concatenate([[0], np.cumsum(score(model, tokens, lengths))])
-                rows = part.num_rows
-                inside = np.bincount(w.row, weights=np.where((entry < CLASS_SIZE) & there, np.log10(count + 1.0), 0), minlength=rows)
-                by_bin = np.bincount(w.row, weights=np.where(entry < CLASS_SIZE, vocabulary.in_bin[w.bin], 0), minlength=rows)
-                base = np.bincount(w.row, weights=np.where(there, np.log10(count + 1.0), 0), minlength=rows) + np.log10(vocabulary.docs + 1.0)
-                known = np.bincount(w.row[there], minlength=rows) + (vocabulary.docs > 0)
-                ids = part.column("id")
-                docs = np.stack([lengths, known, ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()]).astype(np.int64)
-                sums = np.stack([base, (logs[ends] - logs[ends - lengths]) / np.log(10) + inside - by_bin])
-                out = [{"bucket": -1 - int(cid % buckets), "cid": cid, "a": docs.tobytes(), "b": sums.tobytes(), "bin": b""}]
-                order = np.argsort(w.hash[~there])
-                h, row = w.hash[~there][order], w.row[~there][order].astype(np.int32)
-                bounds = _split(h, buckets)
-                for b in np.flatnonzero(np.diff(bounds)):
-                    s = slice(bounds[b], bounds[b + 1])
-                    out.append({"bucket": int(b), "cid": cid, "a": h[s].tobytes(), "b": row[s].tobytes(), "bin": b""})
-                yield _packed(out, _REPLY_SCHEMA)
-                cid += 1
+            for part, data, offsets in bt.pieces(batch, "text"):
+                held.append(_Piece(vocabulary, part.column("id"), Words(data, offsets)))
+                if sum(len(p.tokens) for p in held) >= SCORE_WORDS:
+                    yield _chunk_rows(vocabulary, model, held, cid, buckets)
+                    held, cid = [], cid + 1
+        if held:
+            yield _chunk_rows(vocabulary, model, held, cid, buckets)
 
     return run
 
 
+class _Piece:
+    """What scoring needs of a piece of texts: tokens of all, and sums and rare words of each."""
+
+    def __init__(self, vocabulary: Vocabulary, ids: pa.Array, w: Words):
+        entry, count, there = vocabulary.look_up(w)
+        rows = len(w.count)
+        tokens, self.lengths = vocabulary.sequence(entry, w)
+        self.tokens = tokens.astype(np.int16)
+        logs, binned = np.where(there, np.log10(count + 1.0), 0), entry < CLASS_SIZE
+        self.base = np.bincount(w.row, weights=logs, minlength=rows) + np.log10(vocabulary.docs + 1.0)
+        self.inside = np.bincount(w.row, weights=np.where(binned, logs - vocabulary.in_bin[w.bin], 0), minlength=rows)
+        self.known = np.bincount(w.row[there], minlength=rows) + (vocabulary.docs > 0)
+        self.missing = ids.is_null().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy()
+        self.rare, self.rare_row = w.hash[~there], w.row[~there].astype(np.int32)
+
+
+def _chunk_rows(vocabulary: Vocabulary, model: Model, held: list[_Piece], cid: int, buckets: int) -> pa.RecordBatch:
+    lengths = np.concatenate([p.lengths for p in held])
+    ends = np.cumsum(lengths)
+    logs = np.concatenate([[0], np.cumsum(score(model, np.concatenate([p.tokens for p in held]), lengths))])
+    docs = np.stack([lengths, *(np.concatenate([getattr(p, c) for p in held]) for c in ("known", "missing", "ids"))]).astype(np.int64)
+    sums = np.stack([np.concatenate([p.base for p in held]), (logs[ends] - logs[ends - lengths]) / np.log(10) + np.concatenate([p.inside for p in held])])
+    out = [{"bucket": -1 - int(cid % buckets), "cid": cid, "a": docs.tobytes(), "b": sums.tobytes(), "bin": b""}]
+    first = np.cumsum([0, *(len(p.lengths) for p in held)])
+    h, row = np.concatenate([p.rare for p in held]), np.concatenate([p.rare_row + f for p, f in zip(held, first)]).astype(np.int32)
+    order = np.argsort(h)
+    h, row = h[order], row[order]
+    bounds = _split(h, buckets)
+    for b in np.flatnonzero(np.diff(bounds)):
+        s = slice(bounds[b], bounds[b + 1])
+        out.append({"bucket": int(b), "cid": cid, "a": h[s].tobytes(), "b": row[s].tobytes(), "bin": b""})
+    return _packed(out, _REPLY_SCHEMA)
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Per chunk and document: the sum of log10(count + 1) of its rare words, and how many are known."""
     if table.column("bucket")[0].as_py() < 0:
