@@ -155,7 +155,7 @@ def later_copies(keyed: DataFrame, min_lines: int = MIN_LINES, min_words: int =
             found.append(late.where(F.col("words") >= min_words).select("k", "i"))
         if depth < min_lines < 2 * depth:
             # No power of two: two windows of this depth, overlapping, make one of min_lines.
-            exact = _number(_pairs(members.where(F.col("i") + min_lines <= F.col("n")), min_lines - depth))
+            exact = _number(_pairs(members, min_lines - depth).where(F.col("i") + min_lines <= F.col("n")))
             found.append(_cover(exact.where("not first"), min_lines))
         if depth >= min_lines:
             found.append(_cover(late.where(F.col("i") + depth <= F.col("n")), depth))
