@@ -6,6 +6,7 @@ Counted as part of the subpackage ``corpusrank.llm``.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,11 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The order is that of the files and rows the mix was written to; documents that come from no
     files follow their ids.
     """
-    order = ["doc_id"]
-    if docs.inputFiles():
+    try:
         docs = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
         order = ["__file", "__row"]
+    except AnalysisException:  # not read from files as they are
+        order = ["doc_id"]
     store = token_store.write_store(docs, public_tokenizers.path(TOKENIZER), order_by=order)
     return token_store.read_store(spark, store)
 
