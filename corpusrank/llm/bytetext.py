@@ -7,6 +7,7 @@ one prefix sum, so every span costs the same whatever its length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +77,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers of an executor don't hold what a running one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into row ranges of about ``max_bytes`` of text, so that numpy's temporaries stay small.
 
     A single longer text is a piece of its own; texts are never cut.
@@ -88,6 +97,7 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         end = min(end, batch.num_rows)
         yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,11 +141,12 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
     """64-bit hashes of spans; equal bytes (A-Z as a-z where ``fold_case``) have equal hashes."""
-    n = len(data)
-    powers, inverses = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_VALUES[fold_case][data] * powers[:n], out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * inverses[starts]
+    powers, inverses = _power_tables(len(data) + 1)
+    sums = _VALUES[fold_case][data]
+    sums *= powers[: len(data)]
+    np.cumsum(sums, out=sums)
+    up_to = lambda at: np.where(at > 0, sums[at - 1], U64(0)) if len(sums) else np.zeros(len(at), U64)
+    hashed = (up_to(ends) - up_to(starts)) * inverses[starts]
     return mix(hashed + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

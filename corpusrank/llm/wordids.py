@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import bytetext as bt
 
@@ -46,17 +48,16 @@ def _byte_letters() -> dict[int, str]:
 class _Segment:
     def __init__(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        self.keys, self.at, self.size = keys[order], at[order].astype(np.int32), size[order].astype(np.int32)
 
 
 class WordIds:
     """Encodes texts; remembers the ids of words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.path = path
+        self.words = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.words.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path) as file:
             spec = json.load(file)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -66,22 +67,26 @@ class WordIds:
             and cutters[1]["type"] == "ByteLevel" and spec["model"].get("end_of_word_suffix") == "</w>" and all(a["content"].startswith("<|") for a in spec["added_tokens"])
         )
         if self.fast:
-            self.words = Tokenizer.from_file(path)
+            vocab = self.words.get_vocab()
             self.words.normalizer = None
             self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.letters = _byte_letters()
-            vocab = self.whole.get_vocab()
             self.is_last = np.zeros(max(vocab.values()) + 1, bool)
             self.is_last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self._forget()
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The tokenizer as it is, loaded when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.segments: list[_Segment] = []
         self.pool = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at, size = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
         for s in self.segments:
             k = np.minimum(np.searchsorted(s.keys, keys), len(s.keys) - 1)
             hit = s.keys[k] == keys
@@ -166,7 +171,9 @@ class WordIds:
             at, size = self._find(unique)
         at, size = at[inverse], size[inverse]
         total = np.cumsum(size)
-        ids = self.pool[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        place = np.repeat((at - (total - size)).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.pool[place]
         return ids, np.bincount(of_row, weights=size, minlength=rows).astype(np.int64)
 
     @staticmethod
