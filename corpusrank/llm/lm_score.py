@@ -92,13 +92,32 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packed([{"bucket": table.column("bucket")[0].as_py(), "h": unique.tobytes(), "c": count.tobytes(), "bin": bins[first].tobytes(), "docs": docs}], _COUNT_SCHEMA)])
 
 
-def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent words of each bucket: those of the corpus are among them."""
+def _octaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words have about the same count: steps of a 16th octave."""
     for batch in batches:
         for row in batch.to_pylist():
-            h, c, b = np.frombuffer(row["h"], np.int64), np.frombuffer(row["c"], np.int64), np.frombuffer(row["bin"], np.uint8)
-            top = np.lexsort((h, -c))[:HEAD]
-            yield pa.RecordBatch.from_pydict({"h": h[top], "c": c[top], "bin": b[top].astype(np.int32)})
+            step, n = np.unique(np.floor(np.log2(np.frombuffer(row["c"], np.int64)) * 16).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"step": step, "n": n})
+
+
+def _most_frequent(counts: DataFrame) -> list:
+    """The ``HEAD`` most frequent words.  Tasks send only words of the steps that hold them, so what reaches the driver doesn't grow with their number."""
+    steps = counts.mapInArrow(_octaves, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    seen, cut = 0, 0
+    for r in steps:
+        seen, cut = seen + r["n"], r["step"]
+        if seen >= HEAD:
+            break
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, c, b = np.frombuffer(row["h"], np.int64), np.frombuffer(row["c"], np.int64), np.frombuffer(row["bin"], np.uint8)
+                able = np.flatnonzero(np.floor(np.log2(c) * 16) >= cut)
+                able = able[np.lexsort((h[able], -c[able]))][:HEAD]
+                yield pa.RecordBatch.from_pydict({"h": h[able], "c": c[able], "bin": b[able].astype(np.int32)})
+
+    return counts.mapInArrow(top, "h long, c long, bin int").orderBy(F.desc("c"), "h").limit(HEAD).collect()
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +324,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     buckets = 1 << max(4, min(24, (volume // (16 << 20)).bit_length()))
     learnt = texts.where(~out)
     counts = materialise(learnt.select("text").mapInArrow(_send_counts(buckets), _COUNT).groupBy("bucket").applyInArrow(_add_counts, _COUNT), "words")
-    head = counts.mapInArrow(_top, "h long, c long, bin int").orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    head = _most_frequent(counts)
     totals = counts.mapInArrow(_totals, "bin int, n long, v long, docs long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("docs").alias("docs")).collect()
     vocabulary = Vocabulary(head, totals, totals[0]["docs"] if totals else 0)
     shape = Shape(WORDS, hidden)
