@@ -34,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Where ids repeat or are null, rows are told apart by a generated key.
     """
+    storage.small_batches(spark)
     keyed = storage.with_unique_key(docs, "doc_id", "__k")
     links = jaccard.jaccard_links(keyed, id_col="__k")
     return _keep(keyed, links.where("__k = component_id"), "__k").drop("__k")
@@ -46,6 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the Pfair mix of their sources."""
+    storage.small_batches(spark)
     return pfair.mix_documents(docs)
 
 
@@ -55,6 +57,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The order is that of the files and rows the mix was written to; documents that come from no
     files follow their ids.
     """
+    storage.small_batches(spark)
     try:
         docs = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
         order = ["__file", "__row"]

@@ -27,7 +27,7 @@ from .components import components, forest
 from .storage import broadcast_if_small, materialise, with_unique_key
 
 U64 = np.uint64
-CHUNK = 1_000_000
+CHUNK = 400_000
 """Grams that a task gathers before it sends them on."""
 FRAGMENTS = 4
 TILE = 256
@@ -100,6 +100,8 @@ def _send_prefixes(size: int, num: int, den: int, buckets: int):
                     grams, owners, docs, held = [], [], [], 0
         if docs:
             yield _prefix_rows(grams, owners, docs, buckets)
+        grams, owners, docs = [], [], []
+        bt.give_back()
 
     return send
 
@@ -151,6 +153,7 @@ def _match_prefixes(table: pa.Table) -> pa.Table:
     for k, n, x in zip(*(_arrays(docs.column(c), "i8") for c in "abc")):
         for target, values in zip(columns, (k, n, *x.reshape(2, -1))):
             target.append(values)
+    bt.give_back()
     return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("k", "n", "need", "met"), columns)})
 
 
@@ -182,17 +185,28 @@ def _chunk_sets(size: int):
                     keys, sizes, grams, held, count = [], [], [], 0, count + 1
         if keys:
             yield row()
+        keys, sizes, grams = [], [], []
+        bt.give_back()
 
     return pack
 
 
+def _each(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """Rows one by one; binary values are views of the batch, not copies."""
+    for part in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+        binary = [pa.types.is_binary(f.type) or pa.types.is_large_binary(f.type) for f in part.schema]
+        for i in range(part.num_rows):
+            values = (c[i] for c in part.columns)
+            yield {n: (v.as_buffer() if v.is_valid else None) if b else v.as_py() for n, b, v in zip(part.schema.names, binary, values)}
+
+
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["keys"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["grams"], U64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             keys, n, grams = _unpack(row)
             begin = np.cumsum(n) - n
             sums = [np.concatenate([np.zeros(1, U64), np.cumsum(bt.mix(grams ^ U64(salt)))]) for salt in (0x1234567, 0x89ABCDEF01)]
@@ -205,7 +219,7 @@ def _send_counts(buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 h, c = np.unique(np.frombuffer(row["grams"], U64), return_counts=True)
                 bounds, c = _split(h, buckets), c.astype(np.int32)
                 rows = [
@@ -228,6 +242,7 @@ def _reply_counts(table: pa.Table) -> pa.Table:
     df = np.bincount(at, weights=np.concatenate(c), minlength=len(unique)).astype(np.int64)
     bounds = np.cumsum([0, *map(len, h)])
     rows: dict[str, list] = {"cid": table.column("cid").to_pylist(), "h": [], "df": []}
+    bt.give_back()
     for one, a, b in zip(h, bounds[:-1], bounds[1:]):
         counts = df[at[a:b]]
         rows["h"].append(one[counts > 1].tobytes())
@@ -239,7 +254,7 @@ def _order_sets(num: int, den: int):
     """For documents of a chunk that can still link: their shared grams in the global order."""
 
     def order(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = list(_each(table))
         out: dict[str, list] = {"k": [], "n": [], "prefix": [], "grams": [], "df": []}
         asked = [r for r in rows if r["h"] is not None]
         h = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["h"], U64) for r in asked)])
@@ -267,6 +282,7 @@ def _order_sets(num: int, den: int):
                 out["grams"].append(g[o].tobytes())
                 out["df"].append(c[o].astype(np.int64).tobytes())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        bt.give_back()
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
     return order
@@ -277,9 +293,9 @@ def _send_candidates(buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = list(_each(batch))
             h = np.concatenate([np.frombuffer(r["grams"], U64)[: r["prefix"]] for r in rows] or [np.zeros(0, U64)])
-            k = np.concatenate([np.full(min(r["prefix"], len(r["grams"]) // 8), r["k"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+            k = np.concatenate([np.full(min(r["prefix"], r["grams"].size // 8), r["k"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
             order = np.lexsort((k, h))
             h, k = h[order], k[order]
             # Within a batch a gram joins its documents at once; only the least of them stands for it outside.
@@ -331,6 +347,7 @@ def _partial_overlaps(num: int, den: int):
                 ys.append(keys[a + y])
                 cs.append(c)
         joined = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, cs)]
+        bt.give_back()
         task = table.column("task")[0].as_py()
         row = {"task": [task], "x": [joined[0].tobytes()], "y": [joined[1].tobytes()], "c": [joined[2].astype(np.int32).tobytes()], "size": [_pair_sizes(keys, sizes)]}
         return pa.table({k: pa.array(v, pa.int64() if k == "task" else pa.binary()) for k, v in row.items()})
@@ -363,7 +380,7 @@ def _group_overlaps(segments: list[np.ndarray], sizes: np.ndarray, lone: np.ndar
     rows, cols = rows[keep], column[at[keep]]
     np.bitwise_or.at(bits, (rows, cols // 8), np.left_shift(np.uint8(1), (cols % 8).astype(np.uint8)))
     words = bits.view(U64)
-    step = max(1, (1 << 22) // (width * count))
+    step = max(1, (1 << 20) // count)
     for low in range(0, count, step):
         high = min(count, low + step)
         common = np.zeros((high - low, count), np.int64)
@@ -475,7 +492,7 @@ def _keep_reps(chunks: DataFrame, reps: DataFrame) -> DataFrame:
 
     def filter_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 keys, n, grams = _unpack(row)
                 keep = np.isin(keys, np.array(row["reps"], np.int64))
                 values = keys[keep], n[keep], grams[np.repeat(keep, n)]
@@ -500,7 +517,7 @@ def _verify(ordered: DataFrame, groups: DataFrame, num: int, den: int, fragments
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"fragment": [], "root": [], "k": [], "n": [], "tile": [], "grams": [], "lone": []}
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 grams, df = np.frombuffer(r["grams"], U64), np.frombuffer(r["df"], np.int64)
                 place = np.searchsorted(pivots, _order_value(df, grams), "right")
                 bounds = np.searchsorted(place, np.arange(fragments + 1))
@@ -536,7 +553,7 @@ def _pivots(ordered: DataFrame, fragments: int) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for v in batch.column("df").to_pylist())])
+            df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["df"], np.int64) for r in _each(batch))])
             step, count = np.unique(np.floor(np.log2(df) * 16).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"step": step, "count": count})
 

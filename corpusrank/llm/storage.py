@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_if_small, materialise, new_path, shared_dir
 
-__all__ = ["broadcast_if_small", "materialise", "new_path", "shared_dir", "with_unique_key"]
+__all__ = ["broadcast_if_small", "materialise", "new_path", "shared_dir", "small_batches", "with_unique_key"]
 
 
 def with_unique_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
@@ -21,3 +21,14 @@ def with_unique_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     if n == known == distinct:
         return docs.withColumn(key, F.col(id_col).cast("long"))
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of at most ``rows`` rows, where the session has Spark's default of 10,000.
+
+    A batch is held by the JVM and by the worker at once; with texts of some kilobytes the default is
+    tens of megabytes a time, in every running task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))
