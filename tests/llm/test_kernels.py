@@ -115,6 +115,24 @@ def test_pfair_plan(sources, block):
             assert abs(np.searchsorted(slots, t) - t * s[0].share / plan.period) < 1
 
 
+def test_pfair_exact_over_many_periods():
+    docs, weights = [100_000] * 20 + [70_000, 900], [1.0] * 20 + [0.3, 0.7]
+    plan = pfair.Plan(docs, weights, 4)
+    placed = [np.unique(plan.place(i, np.arange(n))["slot"]) for i, n in enumerate(docs)]
+    assert np.sort(np.concatenate(placed)).tolist() == list(range(sum(docs) // 4))
+    # In the fluid mix every source with blocks left gets its weight's part of each slot.
+    times = sorted(range(len(docs)), key=lambda i: docs[i] / weights[i])
+    for t in range(0, sum(docs) // 4, 997):
+        left, active = float(t), list(times)
+        v = 0.0
+        while active and (docs[active[0]] / 4 / weights[active[0]] - v) * sum(weights[i] for i in active) < left:
+            left -= (docs[active[0]] / 4 / weights[active[0]] - v) * sum(weights[i] for i in active)
+            v = docs[active[0]] / 4 / weights[active.pop(0)]
+        v += left / sum(weights[i] for i in active)
+        fluid = [min(n / 4, v * w) for n, w in zip(docs, weights)]
+        assert max(abs(np.searchsorted(s, t) - f) for s, f in zip(placed, fluid)) < 1.0001
+
+
 def test_pfair_limits():
     assert sum(pfair.apportion([1e-9, 5, 1], 64)) == 64 and min(pfair.apportion([1e-9, 5, 1], 64)) == 1
 
