@@ -48,7 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the Pfair mix of their sources."""
     storage.small_batches(spark)
-    return pfair.mix_documents(docs)
+    return pfair.mix_documents(docs, max_sources=None)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

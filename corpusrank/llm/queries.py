@@ -73,7 +73,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfair import mix_schedule
 
-    return mix_schedule(table(spark, sf_dir, "documents"))
+    return mix_schedule(table(spark, sf_dir, "documents"), max_sources=None)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,15 @@ def test_mix(spark, docs, none):
         pfair.mix_schedule(many).collect()
 
 
+def test_mix_many_sources(spark, tmp_path):
+    from corpusrank.llm import queries as q
+
+    spark.range(4000).selectExpr("id as doc_id", "concat(id % 1300, '.org') as source", "'t' as text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = q.op9_pfair_mix(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(4000)) and sorted(r["position"] for r in rows) == list(range(4000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+
+
 def test_mix_weights(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then 'b' else 'c' end as source").repartition(6)
     rows = sorted(pfair.mix_schedule(docs, weights={"hot": 0.5, "b": 0.3, "c": 0.2}, block_docs=10).collect(), key=lambda r: r["position"])
