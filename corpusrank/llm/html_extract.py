@@ -18,10 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|head|noscript|template|svg|iframe|object|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template svg iframe object textarea select button".split()}
+_HEAD = re.compile(
+    r"(?>\s+|<!--.*?-->|<(?P<name>title|script|style|noscript|template)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=name)\s*>|<(?:meta|link|base)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
+"""What a head may hold; anything else ends it."""
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _BLOCKS = frozenset(
@@ -63,7 +68,10 @@ class Items:
         self.marked: list[bool] = []
         open_: list[tuple[str, bool, bool]] = []  # name, side, marked content
         side = marked = False
-        for m in _TOKEN.finditer(page):
+        at, unclosed = 0, set()
+        while at < len(page):
+            m = _TOKEN.match(page, at)
+            at = m.end()
             text = m["text"]
             if text is not None:
                 if not text.isspace():
@@ -73,10 +81,14 @@ class Items:
                     self._add("space", 0, text, False, side, marked)
                 continue
             if m["name"] is None:
-                if m["raw"]:
-                    self._add("<raw>", 0, None, m["raw"].lower() not in ("script", "style"), side, marked)
                 continue
             name = m["name"].lower()
+            if not m["close"] and (name in _RAW or name == "head") and (not m["rest"] or m["rest"][0] in " \t\n\r\f/"):
+                end = self._raw_end(page, name, m["rest"], at, unclosed)
+                if end is not None:
+                    self._add("<raw>", 0, None, name not in ("script", "style"), side, marked)
+                    at = end
+                    continue
             feature = f"<{name if name in _BLOCKS else 'inline'}>"
             if m["close"]:
                 if name in _HOLDERS and any(o[0] == name for o in open_):
@@ -95,6 +107,19 @@ class Items:
                 open_.append((name, side, marked))
             self._add(feature, 0, None, name in _BLOCKS, side, was)
 
+    @staticmethod
+    def _raw_end(page: str, name: str, rest: str, at: int, unclosed: set[str]) -> int | None:
+        """Where an element without text of its own ends; None if its tag stands alone.  ``unclosed`` collects names without a further closing tag."""
+        if name == "head":
+            return _HEAD.match(page, at).end()
+        if name == "svg" and rest.endswith("/"):
+            return None
+        found = None if name in unclosed else _RAW[name].search(page, at)
+        if found:
+            return found.end()
+        unclosed.add(name)
+        return len(page) if name in ("script", "style") else None
+
     def _add(self, kind: str, words: int, text: str | None, breaks: bool, side: bool, marked: bool) -> None:
         self.kinds.append(kind)
         self.words.append(words)

@@ -195,6 +195,15 @@ def test_html():
         assert html_extract.extract(empty, weights) in ("", "<")
 
 
+@pytest.mark.parametrize("before", [
+    "<head><meta charset=utf-8><title>T</title><body>", "<head><title>T</title><script>1</script>", "<svg-icon name=a></svg-icon>", "<select-box>", "<object-viewer></object-viewer>",
+    "<svg viewBox='0'/>", "<svg>", "<select>", "<button>", "<head><title>T</title></head><select><option>x</option></select>", "<svg><path/></svg>",
+])
+def test_html_raw_elements(before):
+    text = "First paragraph with words enough.\nSecond paragraph with words enough."
+    assert html_extract.extract(before + "<p>First paragraph with words enough.</p><p>Second paragraph with words enough.</p>", {}) == text
+
+
 def brute_run(scores):
     best, at = 0.0, (0, 0)
     for i in range(len(scores)):
