@@ -2,7 +2,8 @@
 
 A page is read as a sequence of tags and texts.  Words score by where they stand, tags by how rarely
 they stand inside content; a linear scan finds the contiguous run with the highest sum.  Labelled
-pages are those that mark their content with ``article`` or ``main``.
+pages are those that mark their content with ``article`` or ``main``.  Class names that usually stand
+for side matter count as such unless the labelled pages or the page's own text say otherwise.
 """
 
 from __future__ import annotations
@@ -44,20 +45,20 @@ _CLOSED_BY = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["
 _ENDS_P = _BLOCKS - {"br", "option", "legend", "summary", "caption"}
 
 
-def _is_side(name: str, rest: str, in_content: bool) -> bool:
-    if name in _SIDE or (name == "header" and not in_content) or _HIDDEN.search(rest):
-        return True
+def _side_names(rest: str) -> frozenset[str]:
+    """Words of class, id and role that usually name side matter."""
     if not rest:
-        return False
-    for found in _NAMES.findall(rest):
-        words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(found)).lower())
-        if any(w in _SIDE_NAMES for w in words):
-            return True
-    return False
+        return frozenset()
+    found = (re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(f)).lower()) for f in _NAMES.findall(rest))
+    return frozenset(w for words in found for w in words) & _SIDE_NAMES
 
 
 class Items:
-    """A page as items: kind (feature name), words, text (None for a tag), whether it breaks a block, side, and whether it stands in marked content."""
+    """A page as items: kind (feature name), words, text (None for a tag), whether it breaks a block, side, and whether it stands in marked content.
+
+    Elements are side matter by their kind, or by class, id or role; the latter are listed in
+    ``named`` (first item, end, words) until ``settle`` decides about them.
+    """
 
     def __init__(self, page: str):
         self.kinds: list[str] = []
@@ -66,7 +67,8 @@ class Items:
         self.breaks: list[bool] = []
         self.side: list[bool] = []
         self.marked: list[bool] = []
-        open_: list[tuple[str, bool, bool]] = []  # name, side, marked content
+        self.named: list[list] = []
+        open_: list[tuple[str, bool, bool, int]] = []  # name, side, marked content, place in named or -1
         side = marked = False
         at, unclosed = 0, set()
         while at < len(page):
@@ -92,20 +94,62 @@ class Items:
             feature = f"<{name if name in _BLOCKS else 'inline'}>"
             if m["close"]:
                 if name in _HOLDERS and any(o[0] == name for o in open_):
-                    while open_.pop()[0] != name:
+                    while self._close(open_) != name:
                         pass
-                    side, marked = open_[-1][1:] if open_ else (False, False)
+                    side, marked = open_[-1][1:3] if open_ else (False, False)
                 self._add(feature, 0, None, name in _BLOCKS, side, marked and name not in ("article", "main"))
                 continue
             if name in _ENDS_P and open_ and open_[-1][0] == "p" or open_ and open_[-1][0] in _CLOSED_BY.get(name, ()):
-                open_.pop()
-                side, marked = open_[-1][1:] if open_ else (False, False)
+                self._close(open_)
+                side, marked = open_[-1][1:3] if open_ else (False, False)
             was = marked
             if name in _HOLDERS and not m["rest"].rstrip().endswith("/"):
-                side = side or _is_side(name, m["rest"], marked)
+                side = side or name in _SIDE or name == "header" and not marked or bool(_HIDDEN.search(m["rest"]))
+                names = frozenset() if side else _side_names(m["rest"])
                 marked = marked or name in ("article", "main") and not side
-                open_.append((name, side, marked))
+                open_.append((name, side, marked, len(self.named) if names else -1))
+                if names:
+                    self.named.append([len(self.kinds), None, names])
             self._add(feature, 0, None, name in _BLOCKS, side, was)
+        while open_:
+            self._close(open_)
+
+    def _close(self, open_: list) -> str:
+        name, _, _, at = open_.pop()
+        if at >= 0:
+            self.named[at][1] = len(self.kinds)
+        return name
+
+    def settle(self, weights: dict[str, float] | None = None) -> Counter:
+        """Decide which named elements are side matter, and count the words of content and of other matter in them by their names.
+
+        Not side is an element with most of the words of marked content; with ``weights`` (at
+        extraction) also one whose names have stood for content or, on a page without marked content,
+        one with most of the words of the run that is best without regard to names.
+        """
+        counts: Counter = Counter()
+        if not self.named:
+            return counts
+        words, marked = np.array(self.words), np.array(self.marked)
+        in_run = np.zeros(len(words), bool)
+        if weights is not None and not words[marked].any():
+            start, end = best_run(np.array([_weight(weights, k) * max(1, w) for k, w in zip(self.kinds, self.words)]))
+            in_run[start:end] = True
+            in_run &= ~np.array(self.side)
+        of_content, of_run, of_all = (np.concatenate([[0], np.cumsum(words * where)]) for where in (marked, in_run, 1))
+        for first, end, names in self.named:
+            most = any(2 * (sums[end] - sums[first]) > sums[-1] for sums in (of_content, of_run))
+            inside = int(of_content[end] - of_content[first]) if most else 0
+            for n in names:
+                counts["." + n, True] += inside
+                counts["." + n, False] += int(of_all[end] - of_all[first]) - inside
+            if most or weights is not None and sum(weights.get("." + n, -1.0) for n in names) > 0:
+                continue
+            for i in range(first, end):
+                self.side[i], self.marked[i] = True, False
+                if self.kinds[i].startswith("in "):
+                    self.kinds[i] = "in side"
+        return counts
 
     @staticmethod
     def _raw_end(page: str, name: str, rest: str, at: int, unclosed: set[str]) -> int | None:
@@ -138,19 +182,23 @@ def count_features(pages: list[str]) -> Counter:
             if "<article" not in low and "<main" not in low:
                 continue
         items = Items(page)
+        named = items.settle()
         if any(items.marked):
+            counts.update(named)
             for kind, words, marked in zip(items.kinds, items.words, items.marked):
                 counts[kind, marked] += max(1, words)
     return counts
 
 
 def learn(counts: Counter) -> dict[str, float]:
-    """Weights from the counts: log odds of standing in content, above zero for words of the text proper, below zero for tags."""
+    """Weights from the counts: log odds of standing in content, above zero for words of the text proper, below zero for tags, either for names of elements."""
     weights: dict[str, float] = {}
     for kind in {k for k, _ in counts}:
         odds = float(np.log((counts[kind, True] + 1) / (counts[kind, False] + 1)))
         if kind == "space":
             weights[kind] = 0.0
+        elif kind.startswith("."):
+            weights[kind] = float(np.clip(odds, -4, 4))
         elif kind.startswith("in "):
             weights[kind] = float(np.clip(odds, -4, -0.5) if kind == "in side" else np.clip(odds, 0.2, 4))
         else:
@@ -184,6 +232,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     items = Items(page)
+    items.settle(weights)
     scores = np.array([_weight(weights, k) * max(1, w) for k, w in zip(items.kinds, items.words)])
     start, end = best_run(scores)
     blocks, held = [], []

@@ -204,6 +204,23 @@ def test_html_raw_elements(before):
     assert html_extract.extract(before + "<p>First paragraph with words enough.</p><p>Second paragraph with words enough.</p>", {}) == text
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="content with-sidebar"><article>{}</article><div class="sidebar"><p>Links here</p></div></div>', '<main class="has-sidebar">{}<p class="share">Share it</p></main>', '<main><article class="post comment-enabled">{}</article></main>',
+    '<div class="content with-sidebar">{}<div class="sidebar"><p>Links here</p></div></div>', '<p>Top.</p><div id="legal-form">{}</div>',
+])
+def test_html_names_of_wrappers(around):
+    body = "".join(f"<p>Paragraph {i} with quite enough words in it.</p>" for i in range(5))
+    got = html_extract.extract(f"<body><nav><a>Home</a></nav>{around.format(body)}<footer>end</footer></body>", html_extract.learn(html_extract.count_features([PAGE] * 20)))
+    assert [x for x in got.split("\n") if x != "Top."] == [f"Paragraph {i} with quite enough words in it." for i in range(5)]
+
+
+def test_html_learns_names():
+    """A class name that wraps content on labelled pages isn't side matter on others, however short the element."""
+    page = '<body><div class="social">{}</div><p>Long long long long long long long long long text.</p></body>'
+    weights = html_extract.learn(html_extract.count_features([page.format("<article>" + "<p>word word word word word</p>" * 5 + "</article>")] * 20))
+    assert weights[".social"] > 0 and "Short one" in html_extract.extract(page.format("<p>Short one of only eight words in here.</p>"), weights)
+
+
 def brute_run(scores):
     best, at = 0.0, (0, 0)
     for i in range(len(scores)):
