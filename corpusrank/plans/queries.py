@@ -524,7 +524,7 @@ def pos_tag_predict(spark, d):
     """A tagger trained on part types, applied to part names; noun scores of their words."""
     part = table(spark, d, "part")
     words = exprs.normalised_words(F.col("p_type"))
-    training = part.where("p_partkey <= 200").select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.when(F.length(w) > 5, 16).otherwise(10)).alias("tags"))
+    training = part.select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.when(F.length(w) > 5, 16).otherwise(10)).alias("tags"))
     model, _ = mentions.train_tagger(training, "p_partkey")
     named = part.select("p_partkey", exprs.normalised_words(F.concat_ws(" ", "p_type", "p_name")).alias("words"))
     return named.select("p_partkey", F.transform(mentions.noun_scores(mentions.tag_words(model)(F.col("words")), F.col("words")), lambda x: F.round(x, 6)).alias("nouns"))
@@ -538,7 +538,7 @@ def mention_relevance(spark, d):
     weights = mentions.postings(mentions.term_weights(mentions.terms(titles), _ranks(spark, d)))
     sentences = part.select(F.lit("2024-01").alias("month"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
     words = exprs.normalised_words(F.col("p_type"))
-    model, _ = mentions.train_tagger(part.where("p_partkey <= 100").select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.when(F.length(w) > 5, 16).otherwise(10)).alias("tags")), "p_partkey")
+    model, _ = mentions.train_tagger(part.select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.when(F.length(w) > 5, 16).otherwise(10)).alias("tags")), "p_partkey")
     return mentions.relevance(sentences, mentions.max_span_map(titles), weights, model).withColumn("relevance", F.round("relevance", 6))
 
 
