@@ -98,6 +98,13 @@ def test_isolation_forest_finds_outliers():
     assert np.isfinite(isolation.IsolationForest.fit(np.zeros((5, 2))).score(np.zeros((2, 2)))).all()
 
 
+@pytest.mark.parametrize("stat, value", [("n_digits", 900), ("n_distinct", 9), ("n_repeat_words", 110), ("n_dup_lines", 98), ("n_same", 11)])
+def test_isolation_features_see_every_rule(stat, value):
+    plain = dict.fromkeys(isolation.STATS, 0) | {"n_words": 400, "word_chars": 2000, "n_lines": 200, "n_distinct": 220}
+    rates = [isolation.features({k: np.array([v]) for k, v in s.items()}) for s in (plain, plain | {stat: value})]
+    assert np.abs(rates[1] - rates[0]).max() > 0.02
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 400), st.floats(0.05, 5)), min_size=1, max_size=7), st.sampled_from([1, 4]))
 def test_pfair_plan(sources, block):
