@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,23 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def kept_memory() -> Iterator[None]:
+    """Keep freed memory in the process while numpy makes and drops arrays of the same sizes again and again; it is given back at the end."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option is None:
+        yield
+        return
+    option(-3, 1 << 30)  # M_MMAP_THRESHOLD
+    option(-1, 1 << 30)  # M_TRIM_THRESHOLD
+    try:
+        yield
+    finally:
+        option(-3, 128 << 10)
+        option(-1, 128 << 10)
+        give_back()
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into row ranges of about ``max_bytes`` of text, so that numpy's temporaries stay small.
 

@@ -15,15 +15,16 @@ F32 = np.float32
 
 @dataclass
 class Shape:
-    """Sizes of the model: words (a multiple of ``CLASS_SIZE``) and hidden units."""
+    """Sizes of the model: words (a multiple of ``class_size``), hidden units, and words in a class."""
 
     words: int
     hidden: int = HIDDEN
+    class_size: int = CLASS_SIZE
 
     @property
     def parts(self) -> list[tuple[str, tuple[int, ...]]]:
-        h, classes = self.hidden, self.words // CLASS_SIZE
-        return [("E", (self.words, 3 * h)), ("U", (h, 3 * h)), ("Wc", (h, classes)), ("bc", (classes,)), ("Wo", (classes, h, CLASS_SIZE)), ("bo", (classes, CLASS_SIZE))]
+        w, h, c = self.words, self.hidden, self.class_size
+        return [("Eg", (2, w, h)), ("En", (w, h)), ("Ug", (2, h, h)), ("Un", (h, h)), ("Wc", (h, w // c)), ("bc", (w // c,)), ("Wo", (w // c, h, c)), ("bo", (w // c, c))]
 
     @property
     def size(self) -> int:
@@ -42,7 +43,7 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 11) -> np.ndarray:
     """Parameters that predict by frequency alone: small random weights, biases from the counts."""
     flat = np.random.default_rng(seed).normal(0, 0.08, shape.size).astype(F32)
     p = shape.views(flat)
-    by_class = np.maximum(counts, 0.5).reshape(-1, CLASS_SIZE)
+    by_class = np.maximum(counts, 0.5).reshape(-1, shape.class_size)
     p["bc"][:] = np.log(by_class.sum(axis=1) / by_class.sum())
     p["bo"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
     p["Wo"] *= 0.3
@@ -73,24 +74,34 @@ class Lanes:
         self.first = np.zeros(len(self.index), bool)
         self.first[ends - n] = True
 
-    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in the lanes' order, (steps, active lanes), and which of them exist."""
-        at = 0
-        while len(self.loads) and at < self.loads[0]:
-            active = int(np.searchsorted(-self.loads, -at, "left"))
-            t = at + np.arange(min(steps, int(self.loads[0]) - at))
-            there = t[:, None] < self.loads[None, :active]
-            yield np.where(there, self.starts[None, :active] + t[:, None], 0), there
-            at += steps
+    def windows(self, steps: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the lanes' order, (steps, active lanes), and which of them exist.
+
+        All lanes end at the same step: the longest documents begin alone, and the last windows hold
+        many documents.  While only a few lanes run, windows are longer (up to ``most`` steps), so
+        that they hold as many tokens.
+        """
+        at, room = 0, steps * len(self.loads)
+        longest = int(self.loads[0]) if len(self.loads) else 0
+        begin = longest - self.loads
+        while at < longest:
+            active = int(np.searchsorted(begin, at, "right"))
+            n = min(max(steps, min(most or steps, room // active)), longest - at)
+            active = int(np.searchsorted(begin, at + n, "left"))
+            t = at + np.arange(n)
+            there = t[:, None] >= begin[None, :active]
+            yield np.where(there, self.starts[None, :active] + t[:, None] - begin[None, :active], 0), there
+            at += n
 
 
 class Model:
     """Forward and backward passes over one window of steps.
 
-    Written for few passes over memory: gates are kept for a whole window, sums over a row are
-    matrix products, and what doesn't depend on the step before is computed for all steps at once.
-    Logits stay small enough (inputs are bounded, weights moderate) for exp without a shift; they
-    are clipped where they might not.
+    Written for few passes over memory: every gate is an array of its own without gaps, kept for a
+    whole window, sums over a row are matrix products, and what doesn't depend on the step before is
+    computed for all steps at once.  A gate is 1 / (1 + exp(a)), so the sign of its weights is
+    opposite to the usual one.  Logits stay small enough (inputs are bounded, weights moderate) for
+    exp without a shift; they are clipped where they might not.
     """
 
     def __init__(self, shape: Shape, flat: np.ndarray):
@@ -99,43 +110,44 @@ class Model:
     def recur(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool = False) -> tuple[np.ndarray, np.ndarray, tuple | None]:
         """Hidden states for inputs ``x`` (steps, lanes); ``keep`` is 0 where a document starts."""
         k, steps = self.shape.hidden, len(x)
-        gates = self.p["E"][x]
-        u = self.p["U"]
+        gates = self.p["Eg"][:, x]  # keep and reset, each (steps, lanes, hidden)
+        new = self.p["En"][x]
+        ug, un = self.p["Ug"], self.p["Un"]
         out = np.empty((*x.shape, k), F32)
-        before = np.empty_like(out)
-        new = np.empty_like(out)
-        inner = np.empty_like(out)
-        fresh = keep.min(axis=1) == 0
-        for t in range(steps):
-            if fresh[t]:
-                h = h * keep[t][:, None]
-            before[t] = h
-            g = h @ u
-            zr = gates[t, :, : 2 * k]
-            zr += g[:, : 2 * k]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            n = new[t]
-            inner[t] = g[:, 2 * k :]
-            np.multiply(zr[:, k:], inner[t], out=n)
-            n += gates[t, :, 2 * k :]
-            np.tanh(n, out=n)
-            h = out[t]
-            np.subtract(before[t], n, out=h)
-            h *= zr[:, :k]
-            h += n
-        return out, h.copy() if steps else h, (before, gates[:, :, :k], gates[:, :, k : 2 * k], new, inner) if store else None
+        before, inner = (np.empty_like(out), np.empty_like(out)) if store else (None, np.empty((1, *out.shape[1:]), F32))
+        both, part = np.empty((2, *out.shape[1:]), F32), np.empty(out.shape[1:], F32)
+        fresh = (keep.min(axis=1) == 0).tolist()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                if fresh[t]:
+                    h = h * keep[t][:, None]
+                if store:
+                    before[t] = h
+                g = gates[:, t]
+                g += np.matmul(h, ug, out=both)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                n = new[t]
+                n += np.multiply(g[1], np.matmul(h, un, out=inner[t if store else 0]), out=part)
+                np.tanh(n, out=n)
+                after = out[t]
+                np.subtract(h, n, out=after)
+                after *= g[0]
+                after += n
+                h = after
+        return out, h.copy() if steps else h, (before, gates[0], gates[1], new, inner) if store else None
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of targets ``y`` after states ``hs``: of the class, and of the word in its class; with ``grad``, also d/d hs of the mean loss."""
         p, n = self.p, len(y)
-        order = np.argsort(y, kind="stable")
-        cls, word, hs = (y // CLASS_SIZE)[order], (y % CLASS_SIZE)[order], hs[order]
-        bounds = np.searchsorted(cls, np.arange(self.shape.words // CLASS_SIZE + 1))
+        size = self.shape.class_size
+        cls = y // size
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cls, word, hs = cls[order], (y % size)[order], hs[order]
+        bounds = np.searchsorted(cls, np.arange(self.shape.words // size + 1))
         row = np.arange(n)
-        ones = np.ones(max(n, CLASS_SIZE, len(bounds)), F32)
+        ones = np.ones(max(n, size, len(bounds)), F32)
         # States lie within -1..1, so weights bound the logits.
         small = max(np.abs(p["Wc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), np.abs(p["Wo"]).sum(axis=1).max() + np.abs(p["bo"]).max()) < 80
 
@@ -184,69 +196,81 @@ class Model:
         before, z, r, n, inner = kept
         flat = np.zeros_like(self.flat)
         grad = self.shape.views(flat)
-        logs, dh_there = self.log_probs(hs[there], y[there], grad)
-        dhs = np.zeros_like(hs)
-        dhs[there] = dh_there
+        whole = bool(there.all())
         k = self.shape.hidden
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = inner * r * (1 - r)
-        da, dg = np.empty((*x.shape, 3 * k), F32), np.empty((*x.shape, 3 * k), F32)
-        carried = np.zeros_like(h)
-        u = self.p["U"].T.copy()
-        fresh = keep.min(axis=1) == 0
+        logs, dh = self.log_probs(hs.reshape(-1, k) if whole else hs[there], y.ravel() if whole else y[there], grad)
+        if whole:
+            dhs = dh.reshape(hs.shape)
+        else:
+            dhs = np.zeros_like(hs)
+            dhs[there] = dh
+        to_n = np.multiply(n, n)
+        np.subtract(1, to_n, out=to_n)
+        slope = np.subtract(1, z)
+        to_n *= slope
+        slope *= z
+        to_z = np.subtract(n, before)
+        to_z *= slope
+        to_r = np.subtract(r, 1)
+        to_r *= r
+        to_r *= inner
+        da, dg, dn = np.empty_like(hs), np.empty((2, *hs.shape), F32), np.empty_like(hs)
+        carried, both = np.zeros_like(h), np.empty((2, *h.shape), F32)
+        ug, un = self.p["Ug"].transpose(0, 2, 1).copy(), self.p["Un"].T.copy()
+        fresh = (keep.min(axis=1) == 0).tolist()
         for t in range(len(x) - 1, -1, -1):
             carried += dhs[t]
-            dan = da[t, :, 2 * k :]
-            np.multiply(carried, to_n[t], out=dan)
-            np.multiply(carried, to_z[t], out=dg[t, :, :k])
-            np.multiply(dan, to_r[t], out=dg[t, :, k : 2 * k])
-            np.multiply(dan, r[t], out=dg[t, :, 2 * k :])
+            dan = np.multiply(carried, to_n[t], out=da[t])
+            np.multiply(carried, to_z[t], out=dg[0, t])
+            np.multiply(dan, to_r[t], out=dg[1, t])
+            np.multiply(dan, r[t], out=dn[t])
             carried *= z[t]
-            carried += dg[t] @ u
+            np.matmul(dg[:, t], ug, out=both)
+            carried += both[0]
+            carried += both[1]
+            carried += dn[t] @ un
             if fresh[t]:
                 carried *= keep[t][:, None]
-        da[:, :, : 2 * k] = dg[:, :, : 2 * k]
-        grad["U"] += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-        place = (x.ravel()[:, None] * (3 * k) + np.arange(3 * k)).ravel()
-        grad["E"][:] = np.bincount(place, weights=da.ravel(), minlength=grad["E"].size).reshape(-1, 3 * k)
+        past = before.reshape(-1, k).T
+        grad["Ug"][0] = past @ dg[0].reshape(-1, k)
+        grad["Ug"][1] = past @ dg[1].reshape(-1, k)
+        grad["Un"][:] = past @ dn.reshape(-1, k)
+        at = x.ravel()
+        order = np.argsort(at.astype(np.uint16 if self.shape.words <= 1 << 16 else np.int64), kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        for target, d in ((grad["Eg"][0], dg[0]), (grad["Eg"][1], dg[1]), (grad["En"], da)):
+            target[at[first]] = np.add.reduceat(d.reshape(-1, k)[order], first, axis=0)
         return flat, last, -float(logs.mean())
 
 
-def segments(lengths: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the pieces of documents that are cut after every ``most`` tokens, in order."""
-    count = -(-lengths // most)
-    out = np.full(int(count.sum()), most, lengths.dtype)
-    ends = np.cumsum(count)
-    out[ends[count > 0] - 1] = (lengths - (count - 1) * most)[count > 0]
-    return out
-
-
 class Trainer:
     """Adam over windows; the state of a lane goes from window to window, its gradient doesn't.
 
-    Documents are cut after every ``segment`` tokens, so that lanes are of equal length and windows
-    full; a segment begins without a state but with the token before it.
+    Documents are whole: a lane's state is carried from a document's first token to its last.
     """
 
-    def __init__(self, model: Model, rate: float = 0.012, lanes: int = 256, steps: int = 24, segment: int = 480):
-        self.model, self.rate, self.lanes, self.steps, self.segment = model, rate, lanes, steps, segment
+    def __init__(self, model: Model, rate: float = 0.012, lanes: int = 256, steps: int = 24):
+        self.model, self.rate, self.lanes, self.steps = model, rate, lanes, steps
         self.m, self.v, self.spare, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), np.empty_like(model.flat), 0
         self.seen, self.loss = 0, 0.0
 
     def learn(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
-        """One pass over documents, given as all tokens (each document's end included) and lengths."""
-        lanes = Lanes(segments(lengths, self.segment), self.lanes)
+        """One pass over documents, given as all tokens (each document's end included) and lengths.
+
+        A small set has fewer lanes, so that it still makes some updates.
+        """
+        lanes = Lanes(lengths, max(16, min(self.lanes, len(tokens) // (64 * self.steps))))
         previous = np.concatenate([[0], tokens[:-1]])
         previous[np.cumsum(lengths) - lengths] = 0
         x, y = previous[lanes.index], tokens[lanes.index]
-        h = np.zeros((len(lanes.loads), self.model.shape.hidden), F32)
-        for at, there in lanes.windows(self.steps):
-            keep = (~lanes.first[at]).astype(F32)
-            grad, h, loss = self.model.gradient(x[at], y[at], there, keep, h[: at.shape[1]])
-            norm = float(np.sqrt(grad @ grad))
-            if norm > 1:
-                grad *= F32(1 / norm)
+        h, full = np.zeros((len(lanes.loads), self.model.shape.hidden), F32), self.steps * len(lanes.loads)
+        for at, there in lanes.windows(self.steps, 8 * self.steps):
+            keep, active = (~(lanes.first[at] & there)).astype(F32), at.shape[1]
+            grad, h[:active], loss = self.model.gradient(x[at], y[at], there, keep, h[:active])
+            norm, here = float(np.sqrt(grad @ grad)), int(there.sum())
+            # A window of few tokens, where the longest documents run alone, moves the parameters by as much less.
+            grad *= F32(min(1.0, here / full) / max(1.0, norm))
             self.t += 1
             self.m *= F32(0.9)
             self.v *= F32(0.99)
@@ -260,8 +284,8 @@ class Trainer:
             np.divide(self.m, self.spare, out=self.spare)
             self.spare *= F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
             self.model.flat -= self.spare
-            self.seen += int(there.sum())
-            self.loss += loss * int(there.sum())
+            self.seen += here
+            self.loss += loss * here
 
 
 def score(model: Model, tokens: np.ndarray, lengths: np.ndarray, lanes: int = 256, steps: int = 32) -> np.ndarray:
@@ -271,8 +295,9 @@ def score(model: Model, tokens: np.ndarray, lengths: np.ndarray, lanes: int = 25
     x = np.concatenate([[0], y[:-1]]) * ~dealt.first if len(y) else y
     h = np.zeros((len(dealt.loads), model.shape.hidden), F32)
     out = np.zeros(len(tokens), np.float64)
-    for at, there in dealt.windows(steps):
-        hs, h, _ = model.recur(x[at], (~dealt.first[at]).astype(F32), h[: at.shape[1]])
+    for at, there in dealt.windows(steps, 16 * steps):
+        active = at.shape[1]
+        hs, h[:active], _ = model.recur(x[at], (~(dealt.first[at] & there)).astype(F32), h[:active])
         logs, _ = model.log_probs(hs[there], y[at][there])
         out[dealt.index[at[there]]] = logs
     return out

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_if_small, materialise, new_path, shared_dir
 
-__all__ = ["broadcast_if_small", "materialise", "new_path", "shared_dir", "small_batches", "with_unique_key"]
+__all__ = ["broadcast_if_small", "materialise", "new_path", "shared_dir", "small_batches", "text_volume", "with_unique_key"]
+
+
+def text_volume(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, counted: what numbers of buckets and tasks are derived from."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def with_unique_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:

@@ -263,3 +263,42 @@ def test_language_model(docs, none):
     assert got[5]["n_tokens"] == 1 and got[12]["n_tokens"] == 30_001 and all(r["score"] < 0 and r["base_score"] < 0 for r in rows) and not got[None]["held_out"]
     assert got[1]["score"] == pytest.approx(got[2]["score"])
     assert lm_score.lm_scores(none).count() == 0
+
+
+def test_language_model_whatever_the_layout(spark, docs):
+    """Files and tasks don't change the model; ids may be strings."""
+    named = docs.where("doc_id is not null and doc_id <> 9").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    scores = [{r["doc_id"]: (r["score"], r["base_score"]) for r in lm_score.lm_scores(named.repartition(n), rounds=2).collect()} for n in (2, 7)]
+    assert scores[0].keys() == scores[1].keys() and all(scores[0][d] == pytest.approx(scores[1][d], rel=1e-6) for d in scores[0])
+
+
+def test_language_model_scores_by_hand(spark):
+    """Scores of a tiny corpus from the trained parameters: one plain recurrence a token, and a softmax over all entries."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}{c}" for i in range(400) for c in "ab"]
+    texts = [(i, " ".join(vocabulary[int(800 * rng.random() ** 3)] for _ in range(rng.integers(0, 60)))) for i in range(60)]
+    m = lm_score.fit(spark.createDataFrame(texts, "doc_id long, text string"), rounds=1)
+    v, p = m.vocabulary, m.shape.views(m.flat.astype(np.float64))
+    entry = {int(h): (int(e), int(c)) for h, e, c in zip(v.h, v.entry, v.c)}
+    sigmoid = lambda a: 1 / (1 + np.exp(a))
+    want = {}
+    for doc_id, text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = lm_score.Words(data, np.array([0, len(data)]))
+        h, before, total = np.zeros(m.shape.hidden), 0, 0.0
+        for word, look in [*zip(words.hash.tolist(), words.look.tolist()), (None, None)]:
+            e, count = entry.get(word, (-1, 0)) if word is not None else (0, v.docs)
+            if e < 0:
+                e = 1 + look % v.bins
+                total += np.log10(count + 1) - v.in_bin[look % v.bins]
+            z, r = (sigmoid(p["Eg"][g, before] + h @ p["Ug"][g]) for g in (0, 1))
+            n = np.tanh(p["En"][before] + r * (h @ p["Un"]))
+            h = z * h + (1 - z) * n
+            of_class = np.exp(h @ p["Wc"] + p["bc"])
+            every = np.concatenate([c / of_class.sum() * np.exp(h @ wo + bo) / np.exp(h @ wo + bo).sum() for c, wo, bo in zip(of_class, p["Wo"], p["bo"])])
+            assert every.sum() == pytest.approx(1)
+            total += np.log10(every[e])
+            before = e
+        want[doc_id] = total
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), rounds=1).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
