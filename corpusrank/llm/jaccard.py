@@ -5,9 +5,13 @@
    filter), so only a quarter of the grams is shuffled.
 2. The rest are collapsed to classes of equal sets, and their grams counted.  The global order is
    now (document frequency, hash): rare grams first, so passages that many documents share come last.
-3. Documents that share a gram of their prefix in that order are put in one candidate group.
-4. The order is cut into fragments.  For each group and fragment, partial overlaps of pairs are
-   counted on bit sets, and summed per pair over the fragments.
+3. Documents that share a gram of their prefix in that order are candidates.  Where candidates hang
+   together in a small component, that is one block of pairs.  A large component, which may be a
+   long chain of documents that mostly have nothing in common, is cut into clusters around common
+   grams; blocks are then pairs of clusters (or of their tiles) that share a gram.
+4. The order is cut into fragments.  For each block and fragment, partial overlaps of pairs are
+   counted on bit sets, and summed per pair over the fragments.  A block tells how many links each
+   of its documents has, and a spanning forest of them; pairs are never written out.
 
 Grams travel as packed arrays, never as a row each.  A gram that is common within a chunk of
 documents leaves the chunk once.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .components import components, forest
-from .storage import broadcast_if_small, materialise, with_unique_key
+from .storage import broadcast_if_small, materialise, text_volume, with_unique_key
 
 U64 = np.uint64
 CHUNK = 400_000
@@ -325,43 +329,36 @@ def _join_candidates(table: pa.Table) -> pa.Table:
     return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
 
-_SEGMENT = "task long, fragment int, tile_a int, tile_b int, root long, k long, n long, tile int, grams binary, lone long"
-
-
 def _partial_overlaps(num: int, den: int):
-    """Partial overlaps of the pairs of one block in one fragment."""
+    """Partial overlaps of the pairs of some blocks in one fragment."""
 
     def count(table: pa.Table) -> pa.Table:
-        roots = table.column("root").to_numpy()
-        order = np.argsort(roots, kind="stable")
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
         table = table.take(pa.array(order))
-        roots = roots[order]
-        keys, sizes, tiles, lone = (table.column(c).to_numpy() for c in ("k", "n", "tile", "lone"))
+        blocks = blocks[order]
+        keys, sizes, sides, lone, copies = (table.column(c).to_numpy() for c in ("k", "n", "side", "lone", "copies"))
+        two = table.column("two").to_numpy()
         segments = _arrays(table.column("grams"), "u8")
-        cut = bool(table.column("tile_a")[0].as_py() != table.column("tile_b")[0].as_py())
         xs, ys, cs = [], [], []
-        bounds = np.flatnonzero(np.concatenate([[True], roots[1:] != roots[:-1], [True]]))
+        bounds = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            for x, y, c in _group_overlaps(segments[a:b], sizes[a:b], lone[a:b], tiles[a:b] if cut else None, num, den):
+            for x, y, c in _group_overlaps(segments[a:b], sizes[a:b], lone[a:b], sides[a:b] if two[a] else None, num, den):
                 xs.append(keys[a + x])
                 ys.append(keys[a + y])
                 cs.append(c)
         joined = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, cs)]
         bt.give_back()
-        task = table.column("task")[0].as_py()
-        row = {"task": [task], "x": [joined[0].tobytes()], "y": [joined[1].tobytes()], "c": [joined[2].astype(np.int32).tobytes()], "size": [_pair_sizes(keys, sizes)]}
+        unique, first = np.unique(keys, return_index=True)
+        docs = np.stack([unique, sizes[first], copies[first]]).astype(np.int64)
+        row = {"task": [table.column("task")[0].as_py()], "x": [joined[0].tobytes()], "y": [joined[1].tobytes()], "c": [joined[2].astype(np.int32).tobytes()], "docs": [docs.tobytes()]}
         return pa.table({k: pa.array(v, pa.int64() if k == "task" else pa.binary()) for k, v in row.items()})
 
     return count
 
 
-def _pair_sizes(keys: np.ndarray, sizes: np.ndarray) -> bytes:
-    unique, first = np.unique(keys, return_index=True)
-    return np.stack([unique, sizes[first]]).astype(np.int64).tobytes()
-
-
-def _group_overlaps(segments: list[np.ndarray], sizes: np.ndarray, lone: np.ndarray, tiles: np.ndarray | None, num: int, den: int):
-    """Pairs (x < y by position) of a group with common grams in this fragment, and how many.
+def _group_overlaps(segments: list[np.ndarray], sizes: np.ndarray, lone: np.ndarray, sides: np.ndarray | None, num: int, den: int):
+    """Pairs (x < y by position) of a block with common grams in this fragment, and how many; with ``sides``, only pairs of different sides.
 
     Pairs that no overlap elsewhere could still link are left out: by set sizes, and by what both
     hold here without the other (with the grams that no other document holds).
@@ -390,8 +387,8 @@ def _group_overlaps(segments: list[np.ndarray], sizes: np.ndarray, lone: np.ndar
         c = common[x, y]
         x = x + low
         ok = x < y
-        if tiles is not None:
-            ok &= tiles[x] != tiles[y]
+        if sides is not None:
+            ok &= sides[x] != sides[y]
         total = sizes[x] + sizes[y]
         least = -(-num * total // (num + den))
         apart = lengths[x] + lengths[y] - 2 * c + lone[x] + lone[y]
@@ -400,21 +397,28 @@ def _group_overlaps(segments: list[np.ndarray], sizes: np.ndarray, lone: np.ndar
 
 
 def _sum_overlaps(num: int, den: int):
-    """Links of a block: partial overlaps summed per pair over the fragments."""
+    """Links of some blocks, from partial overlaps summed per pair over the fragments: rows (a, null, documents linked with a), and a spanning forest (a, b)."""
 
     def add(table: pa.Table) -> pa.Table:
         x, y = (np.concatenate(_arrays(table.column(c), "i8")) for c in "xy")
         c = np.concatenate(_arrays(table.column("c"), "i4")).astype(np.int64)
-        pairs = np.concatenate([s.reshape(2, -1) for s in _arrays(table.column("size"), "i8")], axis=1)
-        keys, first = np.unique(pairs[0], return_index=True)
-        sizes = pairs[1][first]
+        docs = np.concatenate([s.reshape(3, -1) for s in _arrays(table.column("docs"), "i8")], axis=1)
+        keys, first = np.unique(docs[0], return_index=True)
+        _, sizes, copies = docs[:, first]
         i, j = np.searchsorted(keys, x), np.searchsorted(keys, y)
         low, high = np.minimum(i, j), np.maximum(i, j)
         unique, at = np.unique(low * len(keys) + high, return_inverse=True)
         total = np.bincount(at, weights=c, minlength=len(unique)).astype(np.int64)
         low, high = unique // max(1, len(keys)), unique % max(1, len(keys))
         linked = den * total >= num * (sizes[low] + sizes[high] - total)
-        return pa.table({"a": keys[low[linked]], "b": keys[high[linked]]})
+        low, high = low[linked], high[linked]
+        others = np.zeros(len(keys), np.int64)
+        np.add.at(others, low, copies[high])
+        np.add.at(others, high, copies[low])
+        some = np.flatnonzero(others)
+        a, b = forest(low, high)
+        zero = np.zeros(len(a), np.int64)
+        return pa.table({"a": np.concatenate([keys[some], keys[a]]), "b": pa.array(np.concatenate([zero[:0], np.zeros(len(some), np.int64), keys[b]]), mask=np.arange(len(some) + len(a)) < len(some)), "others": np.concatenate([others[some], zero])})
 
     return add
 
@@ -422,30 +426,27 @@ def _sum_overlaps(num: int, den: int):
 def jaccard_links(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (80, 100), fragments: int = FRAGMENTS,
 ) -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard similarity of at least ``threshold``.
+    """Link documents whose shingle sets have a Jaccard similarity of at least ``threshold`` (a whole fraction, over 0).
 
     Returns one row per input row: ``id_col``, n_shingles, n_similar (other documents linked
     directly) and component_id (least id reachable by links).  Exact but for equal 64-bit hashes of
     different shingles.  Null and empty texts have no shingles and no links.  Rows that repeat, or
     share an id, are documents of their own; a null id is kept, and counts as no id when the least
-    is sought.  Further columns are ignored.
+    is sought.  Ids may be of any atomic type.  Further columns are ignored; an empty table has no rows.
 
-    Nothing is capped: equal sets are one class, and a candidate group of any size is cut into
-    tiles, whose pairs are counted as tasks of their own.
+    Nothing is capped: equal sets are one class, and candidates of any number are cut into blocks of
+    pairs.
     """
     num, den = threshold
-    spark = docs.sparkSession
     keyed = with_unique_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "k")
     texts = keyed.select("k", "text")
-    volume = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = 1 << max(4, min(24, (volume // (8 << 20)).bit_length()))
+    buckets = 1 << max(4, (text_volume(texts, "text") // (8 << 20)).bit_length())
 
     sent = texts.mapInArrow(_send_prefixes(size, num, den, buckets), "bucket int, kind int, a binary, b binary, c binary")
     met = sent.groupBy("bucket").applyInArrow(_match_prefixes, "k long, n long, need long, met long")
     sizes = materialise(met.groupBy("k").agg(F.sum("n").alias("n"), (F.sum("met") >= F.sum("need")).alias("open")), "sizes")
-    left = sizes.where("open and n > 0").select("k")
-    n_left = left.count()
-    chunks = materialise(texts.join(broadcast_if_small(left, n_left), "k", "left_semi").mapInArrow(_chunk_sets(size), "cid long, keys binary, sizes binary, grams binary"), "sets")
+    left = broadcast_if_small(sizes.where("open and n > 0").select("k"))
+    chunks = materialise(texts.join(left, "k", "left_semi").mapInArrow(_chunk_sets(size), "cid long, keys binary, sizes binary, grams binary"), "sets")
     ids = keyed.select("k", "id")
     marks = chunks.mapInArrow(_signatures, "k long, s1 long, s2 long, n long")
     classes = marks.groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -462,13 +463,12 @@ def jaccard_links(
     near = ordered.mapInArrow(_send_candidates(buckets), "bucket int, h binary, k binary")
     near = near.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.hash("h"), F.lit(64))).otherwise(0))
     edges = materialise(near.groupBy("bucket", "salt").applyInArrow(_join_candidates, "a long, b long"), "candidates")
-    groups = materialise(components(edges), "groups")
-    links = materialise(_verify(ordered, groups, num, den, fragments), "links")
+    copies = member.where("k = rep").select("k", "copies")
+    groups = materialise(components(edges).select(F.col("node").alias("k"), "root").join(copies, "k"), "groups")
+    links = materialise(_verify(ordered, groups, num, den, fragments, buckets), "links")
 
-    copies = member.where("k = rep").select("rep", "copies")
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
-    similar = ends.join(copies.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("others"))
-    roots = components(links).select(F.col("node").alias("rep"), "root")
+    similar = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    roots = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
     placed = member.join(similar, "rep", "left").join(roots, "rep", "left").select("k", F.coalesce("root", "rep").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
     placed = placed.join(ids, "k")
     least = placed.groupBy("root").agg(F.min("id").alias("least"))
@@ -501,46 +501,74 @@ def _keep_reps(chunks: DataFrame, reps: DataFrame) -> DataFrame:
     return materialise(chunks.join(named, "cid").mapInArrow(filter_sets, "cid long, keys binary, sizes binary, grams binary"), "reps")
 
 
-def _verify(ordered: DataFrame, groups: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
-    """Links within candidate groups: partial overlaps by fragment of the global order, summed per pair."""
-    spark = ordered.sparkSession
-    grouped = ordered.join(groups.withColumnRenamed("node", "k"), "k")
-    held = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("grams")).alias("bytes"))
-    large = held.where(f"members > {4 * TILE}")
-    tiled = grouped.join(large.select("root", "members"), "root", "left")
-    # A large group is dealt into tiles by its documents' set sizes, so that most tile pairs differ too much in size.
-    tiles = tiled.where("members is not null").select("root", "k", "n", "members")
-    spread = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int") * 4096 + F.pmod(F.xxhash64("k"), F.greatest(F.lit(1), F.ceil(F.col("members") / TILE))).cast("int")
-    tiles = tiles.select("k", spread.alias("tile"))
+def _prefix_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (g, k) for each gram of a document's prefix."""
+    for batch in batches:
+        for r in _each(batch):
+            g = np.frombuffer(r["grams"], np.int64)[: r["prefix"]]
+            yield pa.RecordBatch.from_pydict({"g": g, "k": np.full(len(g), r["k"])})
+
+
+def _clusters(ordered: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of candidates ``docs(k)``: (k, cluster), and all pairs of clusters (one, two) with a prefix gram in common, each with itself too.
+
+    A document joins the cluster of the least document that it shares a prefix gram with.  Near
+    copies share grams with all of their kind, so they are few clusters; along a chain clusters stay small.
+    """
+    grams = materialise(ordered.join(docs, "k", "left_semi").select("k", "prefix", "grams").mapInArrow(_prefix_grams, "g long, k long"), "prefixes")
+    least = grams.groupBy("g").agg(F.min("k").alias("least"))
+    clusters = materialise(grams.join(least, "g").groupBy("k").agg(F.min("least").alias("cluster")), "clusters")
+    seen = materialise(grams.join(clusters, "k").select("g", "cluster").distinct(), "met")
+    met = seen.withColumnRenamed("cluster", "one").join(seen.withColumnRenamed("cluster", "two"), "g").where("one < two").select("one", "two").distinct()
+    return clusters, met.union(clusters.select(F.col("cluster").alias("one"), F.col("cluster").alias("two")).distinct())
+
+
+def _blocks(ordered: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """The blocks of pairs that each candidate takes part in: (k, copies, block, side, two); with ``two``, only pairs of different sides count."""
+    large = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 4 * TILE).select("root")
+    whole = groups.select("k", "copies", F.xxhash64("root").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("two"), "root")
+    if not large.limit(1).count():
+        return whole.drop("root")
+    docs = groups.join(large, "root", "left_semi").select("k", "copies")
+    clusters, pairs = _clusters(ordered, docs.select("k"))
+    # A large cluster is dealt into tiles by its documents' set sizes, so that most pairs of tiles differ too much in size.
+    members = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    size_class = F.when(F.col("members") > TILE, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))).otherwise(0)
+    tile = size_class * (1 << 40) + F.pmod(F.xxhash64("k"), F.ceil(F.col("members") / TILE))
+    placed = materialise(clusters.join(members, "cluster").join(ordered.select("k", "n"), "k").join(docs, "k").select("k", "copies", "n", "cluster", tile.alias("tile")), "tiles")
+    sides = placed.groupBy("cluster", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = (sides.select(F.col("cluster").alias(c), F.col("tile").alias(f"tile_{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")) for c in ("one", "two"))
+    near = (F.col("high_one") * den >= F.col("low_two") * num) & (F.col("high_two") * den >= F.col("low_one") * num)
+    able = pairs.join(one, "one").join(two, "two").where(near & ((F.col("one") < F.col("two")) | (F.col("tile_one") <= F.col("tile_two"))))
+    able = able.select("one", "tile_one", "two", "tile_two", F.xxhash64("one", "tile_one", "two", "tile_two").alias("block"), ((F.col("one") < F.col("two")) | (F.col("tile_one") < F.col("tile_two"))).alias("apart"))
+    ends = able.select(F.col("one").alias("cluster"), F.col("tile_one").alias("tile"), "block", F.lit(0).alias("side"), F.col("apart").alias("two"))
+    ends = ends.union(able.where("apart").select("two", "tile_two", "block", F.lit(1), "apart"))
+    tiled = placed.join(ends, ["cluster", "tile"]).select("k", "copies", "block", "side", "two")
+    return whole.join(large, "root", "left_anti").select(*tiled.columns).union(tiled)
+
+
+def _verify(ordered: DataFrame, groups: DataFrame, num: int, den: int, fragments: int, bins: int) -> DataFrame:
+    """Links of candidates, block by block: partial overlaps by fragment of the global order, summed per pair."""
     pivots = _pivots(ordered, fragments)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"task": pa.int64(), "fragment": pa.int32(), "block": pa.int64(), "side": pa.int32(), "two": pa.bool_(), "k": pa.int64(), "n": pa.int64(), "copies": pa.int64(), "lone": pa.int64(), "grams": pa.binary()}
         for batch in batches:
-            out: dict[str, list] = {"fragment": [], "root": [], "k": [], "n": [], "tile": [], "grams": [], "lone": []}
+            out: dict[str, list] = {c: [] for c in kinds}
             for r in _each(batch):
                 grams, df = np.frombuffer(r["grams"], U64), np.frombuffer(r["df"], np.int64)
                 place = np.searchsorted(pivots, _order_value(df, grams), "right")
                 bounds = np.searchsorted(place, np.arange(fragments + 1))
                 for f in range(fragments):
-                    for c, v in zip(out, (f, r["root"], r["k"], r["n"], r["tile"], grams[bounds[f] : bounds[f + 1]].tobytes(), r["n"] - len(grams))):
+                    values = (r["block"] % bins, f, r["block"], r["side"], r["two"], r["k"], r["n"], r["copies"], r["n"] - len(grams), grams[bounds[f] : bounds[f + 1]].tobytes())
+                    for c, v in zip(kinds, values):
                         out[c].append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-
-    placed = grouped.join(tiles, "k", "left")
-    pieces = placed.select("root", "k", "n", "tile", "grams", "df").mapInArrow(cut, "fragment int, root long, k long, n long, tile int, grams binary, lone long")
-    bins = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    whole = pieces.where("tile is null").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), "fragment", F.lit(0).alias("tile_a"), F.lit(0).alias("tile_b"), "root", "k", "n", F.lit(0).alias("tile"), "grams", "lone")
-    sides = placed.where("tile is not null").groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = sides.alias("a"), sides.alias("b")
-    able = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("a.high") * den >= F.col("b.low") * num) & (F.col("b.high") * den >= F.col("a.low") * num))
-    able = able.select(F.col("a.root").alias("root"), F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b"))
-    ends = able.select("root", "tile_a", "tile_b", F.col("tile_a").alias("tile")).union(able.where("tile_a <> tile_b").select("root", "tile_a", "tile_b", "tile_b"))
-    parts = pieces.where("tile is not null").join(ends, ["root", "tile"])
-    parts = parts.select(F.xxhash64("root", "tile_a", "tile_b").alias("task"), "fragment", "tile_a", "tile_b", "root", "k", "n", "tile", "grams", "lone")
-    blocks = whole.select(*parts.columns).union(parts)
-    partial = blocks.groupBy("task", "tile_a", "tile_b", "fragment").applyInArrow(_partial_overlaps(num, den), "task long, x binary, y binary, c binary, size binary")
-    return partial.groupBy("task").applyInArrow(_sum_overlaps(num, den), "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(out))
+
+    placed = ordered.select("k", "n", "grams", "df").join(_blocks(ordered, groups, num, den), "k")
+    pieces = placed.mapInArrow(cut, "task long, fragment int, block long, side int, two boolean, k long, n long, copies long, lone long, grams binary")
+    partial = pieces.groupBy("task", "fragment").applyInArrow(_partial_overlaps(num, den), "task long, x binary, y binary, c binary, docs binary")
+    return partial.groupBy("task").applyInArrow(_sum_overlaps(num, den), "a long, b long, others long")
 
 
 def _order_value(df: np.ndarray, grams: np.ndarray) -> np.ndarray:

@@ -180,7 +180,7 @@ def dedup_line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     keyed = with_unique_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "k")
     gone = materialise(later_copies(keyed.select("k", "text"), min_lines, min_words).groupBy("k").agg(F.collect_list(F.col("i").cast("int")).alias("gone")), "gone")
-    joined = keyed.join(broadcast_if_small(gone, gone.count(), 50_000), "k", "left")
+    joined = keyed.join(broadcast_if_small(gone), "k", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

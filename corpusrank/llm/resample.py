@@ -184,7 +184,7 @@ def fit(
     worst = materialise(worst, "labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     good = worst.where("good").select("id", F.lit(True).alias("target"))
-    good = broadcast_if_small(good, good.count())
+    good = broadcast_if_small(good)
     marked = rows.join(good, "id", "left")
     model = Resampler(*_counts(marked.select("text", "target"), bits), -math.inf, temperature, seed)
     scored = score(marked, model, "text", "target", "mean", "n_grams").drop("text", "target")

@@ -302,3 +302,20 @@ def test_language_model_scores_by_hand(spark):
         want[doc_id] = total
     got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), rounds=1).collect()}
     assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_jaccard_chain(spark):
+    """A chain in which each document shares grams with the next: one component, blocks of neighbours only."""
+    n = 20_000
+    part = lambda i: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda j: F.concat(i.cast("string"), F.lit("w"), j.cast("string"))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", part(F.col("id")), part(F.col("id") + 1)).alias("text")).repartition(8)
+    made = []
+    blocks = jaccard._blocks
+    patch = pytest.MonkeyPatch()
+    patch.setattr(jaccard, "_blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    try:
+        rows = jaccard.jaccard_links(docs)
+        assert rows.agg(F.count("doc_id"), F.sum("n_similar"), F.sum((F.col("component_id") != F.col("doc_id")).cast("int")), F.sum("n_shingles")).first() == (n, 0, 0, 56 * n)
+        assert n / 2 < made[0].count() < 10 * n
+    finally:
+        patch.undo()
