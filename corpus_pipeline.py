@@ -17,36 +17,40 @@ ORACLE_SQL = None
 """The resampling, the schedule and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version."""
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, id_col: str) -> DataFrame:
-    """The documents whose id is listed in ``verdict``; a broadcast where the list is short, else a shuffle."""
-    verdict = storage.materialise(verdict.select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    kept = storage.broadcast_if_small(verdict, verdict.count())
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+def _keep(docs: DataFrame, verdict: DataFrame, key: str) -> DataFrame:
+    """The documents whose key is listed in ``verdict(key)``; a broadcast where the list is short, else a shuffle."""
+    verdict = storage.materialise(verdict.select(key).distinct(), "kept")
+    return docs.join(storage.broadcast_if_small(verdict), key, "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
+    """Documents that the importance resampling keeps.
+
+    Null and empty texts have no n-grams and go; rows that repeat are weighed each; a null id has no label.
+    """
     return resample.keep_resampled(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id; documents without links stay.
 
-    Where ids repeat or are null, rows are told apart by a generated key.
+    Where ids repeat or are null, rows are told apart by a generated key.  Null and empty texts are
+    linked with nothing, so they stay.
     """
     storage.small_batches(spark)
-    keyed = storage.with_unique_key(docs, "doc_id", "__k")
-    links = jaccard.jaccard_links(keyed, id_col="__k")
-    return _keep(keyed, links.where("__k = component_id"), "__k").drop("__k")
+    key = storage.fresh_name(docs, "near_key")
+    keyed = storage.with_unique_key(docs, "doc_id", key)
+    links = jaccard.jaccard_links(keyed, id_col=key)
+    return _keep(keyed, links.where(F.col(key) == F.col("component_id")), key).drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an occurrence of a benchmark window."""
+    """Documents without an occurrence of a benchmark window; null and empty texts have none, and rows that repeat go or stay together."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the Pfair mix of their sources."""
+    """All documents, laid out in the order of the Pfair mix of their sources; a null source is a source, and repeated or null ids are placed each."""
     storage.small_batches(spark)
     return pfair.mix_documents(docs, max_sources=None)
 
@@ -55,7 +59,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written in the order of the mix and read back.
 
     The order is that of the files and rows the mix was written to; documents that come from no
-    files follow their ids.
+    files follow their ids.  Null and empty texts are their end id alone; rows that repeat are written each.
     """
     storage.small_batches(spark)
     try:
