@@ -47,14 +47,16 @@ SELECT conv_id, part, turn, '<|' || role || '|>' || chr(10) || text || '<|end|>'
 ORACLES["op7_line_runs"] = r"""
 WITH l AS (SELECT doc_id, j, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
            FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
-n AS (SELECT doc_id, j, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE words > 0),
-one AS (SELECT doc_id, i FROM (SELECT doc_id, i, words, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS o FROM n) WHERE o > 1 AND words >= 30),
-w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM n),
-two AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS o FROM w WHERE next IS NOT NULL) WHERE o > 1),
-gone AS (SELECT * FROM one UNION SELECT * FROM two UNION SELECT doc_id, i + 1 FROM two),
+n AS (SELECT doc_id, j, line, words, row_number() OVER w AS i, sum(words) OVER w AS upto FROM l WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+p AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.words >= 30 GROUP BY ALL
+      UNION SELECT b.doc_id, max(a.i), b.i FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.words >= 30 GROUP BY b.doc_id, b.i),
+t AS (SELECT p.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS run FROM p JOIN n ON n.doc_id = p.doc_id AND i BETWEEN s AND e GROUP BY ALL),
+late AS (SELECT doc_id, s, e FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS o FROM t) WHERE o > 1),
+gone AS (SELECT DISTINCT late.doc_id, i FROM late JOIN n ON n.doc_id = late.doc_id AND i BETWEEN s AND e),
+r AS (SELECT doc_id, count(*) AS n_runs, max(k) AS longest FROM (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone) GROUP BY doc_id, island) GROUP BY doc_id),
 m AS (SELECT l.doc_id, l.j, l.line, n.i IS NOT NULL AS filled, gone.i IS NOT NULL AS gone FROM l LEFT JOIN n USING (doc_id, j) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.i = n.i)
-SELECT doc_id, CAST(count(*) FILTER (filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_deleted,
-       coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id
+SELECT doc_id, CAST(count(*) FILTER (filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_deleted, coalesce(any_value(n_runs), 0) AS n_runs, coalesce(any_value(longest), 0) AS longest_run,
+       coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '') AS text FROM m LEFT JOIN r USING (doc_id) GROUP BY doc_id
 """
 
 ORACLES["op8_html_extract"] = r"""

@@ -168,34 +168,44 @@ def test_kth_largest(spark):
 
 
 def brute_runs(docs, min_lines, min_words):
+    """Deleted lines: those in any run that has occurred before, of any length, with enough lines and words."""
     lines = {k: [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)] for k, t in docs}
-    gone = Counter()
-    for m in (1, min_lines):
-        seen = set()
-        for k in sorted(lines):
-            for i in range(len(lines[k]) - m + 1):
-                run = tuple(lines[k][i : i + m])
-                if run in seen and (m >= min_lines or len(run[0].split()) >= min_words):
-                    gone.update({(k, j): 1 for j in range(i, i + m)})
-                seen.add(run)
+    gone, seen = set(), set()
+    for k in sorted(lines):
+        for i in range(len(lines[k])):
+            for j in range(i + 1, len(lines[k]) + 1):
+                run = tuple(lines[k][i:j])
+                if run in seen and len(run) >= min_lines and len(" ".join(run).split()) >= min_words:
+                    gone.update((k, at) for at in range(i, j))
+            seen.update(tuple(lines[k][i:j]) for j in range(i + 1, len(lines[k]) + 1))
     return Counter(k for k, _ in gone)
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 4, 5])
-def test_line_runs(spark, min_lines):
-    rng = np.random.default_rng(min_lines)
+@pytest.mark.parametrize("min_lines, min_words", [(1, 1), (1, 4), (2, 1), (3, 9), (5, 1), (1, 13)])
+def test_line_runs(spark, min_lines, min_words):
+    rng = np.random.default_rng(min_lines + min_words)
     texts = [(i, "\n".join(rng.choice(["a b", "c", "d e f", "", "g", "long line of words"], rng.integers(0, 14)))) for i in range(40)] + [(40, None), (41, "\n".join(["same"] * 30))]
+    texts += [(42, "\n".join(["head", "c", "d e f", "a b", "g"] * 4)), (43, "\n".join(["other", "c", "d e f", "a b", "g"] * 3))]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["n_deleted"] for r in line_runs.dedup_line_runs(docs, min_lines=min_lines, min_words=4).collect()}
-    want = brute_runs(texts, min_lines, 4)
-    assert got == {k: want[k] for k, _ in texts}
+    rows = line_runs.dedup_line_runs(docs, min_lines=min_lines, min_words=min_words).collect()
+    want = brute_runs(texts, min_lines, min_words)
+    assert {r["doc_id"]: r["n_deleted"] for r in rows} == {k: want[k] for k, _ in texts}
+    assert all(r["longest_run"] <= r["n_deleted"] and (r["n_runs"] > 0) == (r["n_deleted"] > 0) for r in rows)
+
+
+def test_line_runs_count_all_words_of_a_run(spark):
+    """Three lines of ten words repeat, which no two of them would; names as ids."""
+    line = [" ".join(f"{c}{i}" for i in range(10)) for c in "xyz"]
+    docs = spark.createDataFrame([("a", "\n".join(["one", *line, "two"])), ("b", "\n".join(["three", *line, "four", *line[:2]]))], "doc_id string, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_deleted"], r["longest_run"], r["text"]) for r in line_runs.dedup_line_runs(docs).collect()}
+    assert got == {"a": (0, 0, "\n".join(["one", *line, "two"])), "b": (3, 3, "\n".join(["three", "four", *line[:2]]))}
 
 
 def test_line_runs_edges(docs, none):
     rows = line_runs.dedup_line_runs(docs).collect()
     assert ids(rows) == EVERY
     got = {r["doc_id"]: r for r in rows}
-    assert got[11]["text"] == "The quick\nbrown fox\njumps" and got[11]["n_deleted"] == 2 and got[5]["text"] == "" and got[12]["n_lines"] == 1
+    assert got[11]["text"].count("fox") == 2 and got[11]["n_deleted"] == 0 and got[5]["text"] == "" and got[12]["n_lines"] == 1
     assert sum(r["n_deleted"] for r in rows if r["doc_id"] in (1, 2)) == 1
     assert line_runs.dedup_line_runs(none).count() == 0
 
