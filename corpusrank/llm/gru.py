@@ -252,7 +252,7 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = 0.012, lanes: int = 256, steps: int = 24):
         self.model, self.rate, self.lanes, self.steps = model, rate, lanes, steps
-        self.m, self.v, self.spare, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), np.empty_like(model.flat), 0
+        self.m, self.v, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
         self.seen, self.loss = 0, 0.0
 
     def learn(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
@@ -272,18 +272,17 @@ class Trainer:
             # A window of few tokens, where the longest documents run alone, moves the parameters by as much less.
             grad *= F32(min(1.0, here / full) / max(1.0, norm))
             self.t += 1
+            # Both moments without the factors that would make means of them: those are part of the rate.
             self.m *= F32(0.9)
-            self.v *= F32(0.99)
-            np.multiply(grad, grad, out=self.spare)
-            self.spare *= F32(0.01)
-            self.v += self.spare
-            grad *= F32(0.1)
             self.m += grad
-            np.sqrt(self.v, out=self.spare)
-            self.spare += F32(1e-8)
-            np.divide(self.m, self.spare, out=self.spare)
-            self.spare *= F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
-            self.model.flat -= self.spare
+            self.v *= F32(0.99)
+            grad *= grad
+            self.v += grad
+            np.sqrt(self.v, out=grad)
+            grad += F32(1e-7)
+            np.divide(self.m, grad, out=grad)
+            grad *= F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+            self.model.flat -= grad
             self.seen += here
             self.loss += loss * here
 

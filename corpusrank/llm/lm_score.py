@@ -31,7 +31,7 @@ from .storage import materialise, text_volume
 U64 = np.uint64
 HEAD = 65_536
 """Most frequent words whose counts every task knows (as many as the recurrent model has entries, if those are more)."""
-ROUNDS = 5
+ROUNDS = 4
 CHUNK_WORDS = 400_000
 PIECE_TOKENS = 2_000_000
 """Tokens that are trained on or scored together: many documents a lane, so that lanes end at about the same step."""
@@ -169,6 +169,13 @@ class Vocabulary:
         known = min(len(head), shape.words - self.first)
         entry[:known] = self.first + np.arange(known)
         self.entry = entry[order]
+        # A table of eight times as many places, in which a hash stands at its share of the way or in the next free place after it.
+        self.shift = 64 - max(8, (8 * len(head)).bit_length())
+        place = (self.h >> U64(self.shift)).astype(np.int64)
+        stands = np.arange(len(place)) + np.maximum.accumulate(place - np.arange(len(place))) if head else place
+        self.reach = int((stands - place).max()) + 1 if head else 0
+        self.table = np.full((1 << (64 - self.shift)) + self.reach + 1, -1, np.int32)
+        self.table[stands] = np.arange(len(place))
         self.docs = docs
         n, v = np.zeros(self.bins, np.int64), np.zeros(self.bins, np.int64)
         for r in totals:
@@ -187,12 +194,17 @@ class Vocabulary:
     def look_up(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Model entry of each word, its count where the head has it, and whether it has."""
         binned = 1 + (w.look % np.uint16(self.bins)).astype(np.int64)
-        if not len(self.h):
-            return binned, np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), bool)
-        at = np.minimum(np.searchsorted(self.h, w.hash), len(self.h) - 1)
-        there = self.h[at] == w.hash
-        entry = np.where(there, self.entry[at], -1)
-        return np.where(entry < 0, binned, entry), np.where(there, self.c[at], 0), there
+        found = np.full(len(w.hash), -1, np.int32)
+        place, left = (w.hash >> U64(self.shift)).astype(np.int64), np.arange(len(w.hash))
+        for step in range(self.reach):
+            at = self.table[place + step]
+            left, place, at = (x[at >= 0] for x in (left, place, at))
+            same = self.h[at] == w.hash[left]
+            found[left[same]] = at[same]
+            left, place = left[~same], place[~same]
+        there = found >= 0
+        entry = np.append(self.entry, -1)[found]
+        return np.where(entry < 0, binned, entry), np.append(self.c, 0)[found], there
 
     def sequence(self, entry: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts with their ends, and lengths."""
@@ -202,13 +214,15 @@ class Vocabulary:
         return tokens, lengths
 
 
-_NUMBERS = {"n": np.int64, "held": np.uint8, "key": U64, "known": np.int64, "base": np.float64, "inside": np.float64, "tokens": np.uint32, "rare": U64, "rare_row": np.int32}
-"""Packed arrays of a chunk: by document its tokens, fold, hash, known tokens, base score and its words' logs within their bins; all tokens; words outside the head, ascending, and their documents."""
+_NUMBERS = {"n": np.int64, "held": np.uint8, "key": U64, "known": np.int64, "base": np.float64, "inside": np.float64, "tokens": np.uint16, "rare": U64, "rare_row": np.int32}
+"""Packed arrays of a chunk: by document its tokens, fold, hash, known tokens, base score and its words' logs within their bins; all tokens (32 bits where entries need them); words outside the head, ascending, and their documents."""
 
 
 def _encode(vocabulary: Vocabulary, schema: pa.Schema):
     """``(id, held, text)`` -> chunks of about ``PIECE_TOKENS`` tokens."""
 
+    kind = np.uint16 if len(vocabulary.counts) <= 1 << 16 else np.uint32
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -222,7 +236,7 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
             order = np.argsort(numbers["rare"])
             for c in ("rare", "rare_row"):
                 numbers[c] = numbers[c][order]
-            columns = {"cid": pa.array([cid]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)} | {c: pa.array([v.astype(_NUMBERS[c]).tobytes()], pa.binary()) for c, v in numbers.items()}
+            columns = {"cid": pa.array([cid]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)} | {c: pa.array([v.astype(kind if c == "tokens" else _NUMBERS[c]).tobytes()], pa.binary()) for c, v in numbers.items()}
             return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
         for batch in batches:
@@ -232,7 +246,7 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
                 rows = part.num_rows
                 tokens, lengths = vocabulary.sequence(entry, w)
                 logs = np.where(there, np.log10(count + 1.0), 0)
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(bt.mix(w.hash + np.arange(len(w.hash), dtype=U64) - np.repeat(np.cumsum(w.count) - w.count, w.count).astype(U64)))])
+                sums = np.concatenate([np.zeros(1, U64), np.cumsum(w.hash)])
                 ends = np.cumsum(w.count)
                 named, id_offsets = bt.column_bytes(part.column("id").cast(pa.string()))
                 of_id = bt.span_hashes(named, id_offsets[:-1], id_offsets[1:])
@@ -240,7 +254,7 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
                     "ids": part.column("id"), "n": lengths, "held": part.column("held").to_numpy(zero_copy_only=False), "key": bt.mix(of_id + bt.mix(sums[ends] - sums[ends - w.count])), "known": np.bincount(w.row[there], minlength=rows) + (vocabulary.docs > 0),
                     "base": np.bincount(w.row, weights=logs, minlength=rows) + np.log10(vocabulary.docs + 1.0),
                     "inside": np.bincount(w.row, weights=np.where(entry < vocabulary.first, logs - vocabulary.in_bin[w.look % np.uint16(vocabulary.bins)], 0), minlength=rows),
-                    "tokens": tokens.astype(np.uint32), "rare": w.hash[~there], "rare_row": w.row[~there] + docs,
+                    "tokens": tokens.astype(kind), "rare": w.hash[~there], "rare_row": w.row[~there] + docs,
                 }
                 for c, v in made.items():
                     held[c].append(v)
@@ -256,7 +270,10 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
 
 
 def _numbers(row: dict, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(row[c], _NUMBERS[c]) for c in names]
+    out = [np.frombuffer(row[c], _NUMBERS[c]) for c in names]
+    if "tokens" in names and len(out[names.index("tokens")]) > out[names.index("n")].sum():
+        out[names.index("tokens")] = np.frombuffer(row["tokens"], np.uint32)
+    return out
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
