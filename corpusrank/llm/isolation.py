@@ -74,13 +74,13 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     """Rates of the rules per word (or line, or character), damped so that a short text isn't odd by chance.
 
     Every counted rule has a rate, without floors; what is too much is left to the threshold.  Rates that ordinary
-    texts show too are squared, so that those texts lie close together.
+    texts show too are raised to a power, so that those texts lie close together.
     """
     s = {k: v.astype(float) for k, v in stats.items()}
     words, chars = s["n_words"] + 25, s["word_chars"] + 150
     return np.stack([
         np.sqrt(s["n_symbols"] / words), np.sqrt(s["n_shouts"] / words), np.sqrt(s["n_upper"] / chars), s["n_same"] / words,
-        (s["n_dup_lines"] / (s["n_lines"] + 5)) ** 2, s["n_digits"] / chars, (s["n_repeat_words"] / words) ** 2, (1 - (1 + np.log1p(s["n_distinct"])) / (1 + np.log1p(s["n_words"]))) ** 2, np.abs(np.log((s["word_chars"] + 130) / words / 5.2)),
+        (s["n_dup_lines"] / (s["n_lines"] + 5)) ** 4, (s["n_digits"] / chars) ** 2, (s["n_repeat_words"] / words) ** 2.5, (1 - (1 + np.log1p(s["n_distinct"])) / (1 + np.log1p(s["n_words"]))) ** 4, np.log((s["word_chars"] + 130) / words / 5.2) ** 2,
     ], axis=1)
 
 
