@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .storage import broadcast_if_small, materialise
+from .storage import broadcast_if_small, fresh_name, materialise
 
 BITS = 18
 """log2 of the number of n-gram buckets; both models have this size whatever the corpus."""
 BLOCK = 4096
+TEMPERATURE = 0.01
+"""In nats of the mean ratio.  Good and bad labelled texts of prose are some 0.1 apart, so the noise settles the order near the cut and leaves clean text alone."""
 BINS_PER_NAT = 500
 LIMIT = 20
 
@@ -113,12 +115,26 @@ def score(docs: DataFrame, model: Resampler, text_col: str, target: str, mean: s
     return docs.mapInArrow(rate, kind)
 
 
-def gumbel_key(model: Resampler, id_col: str, mean: str) -> F.Column:
-    """The mean ratio with Gumbel noise drawn from the id: the k largest are a sample without replacement, weighted by exp(mean / temperature)."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(model.seed)), 11).cast("double") + 0.5) / 2.0**53
+def gumbel_key(model: Resampler, id_col: str, mean: str, n_grams: str) -> F.Column:
+    """The mean ratio over the temperature with Gumbel noise drawn from the id and the number of n-grams: the k largest are a sample without replacement, weighted by exp(mean / temperature)."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(n_grams), F.lit(model.seed)), 11).cast("double") + 0.5) / 2.0**53
     return F.col(mean) / model.temperature - F.log(-F.log(uniform))
 
 
+def inclusion(model: Resampler, mean: str) -> F.Column:
+    """How probable it is that a row's noise lifts it over the cut; its inverse is the row's weight in estimates from the sample."""
+    if math.isinf(model.cut):
+        return F.lit(1.0 if model.cut < 0 else 0.0)
+    return 1.0 - F.exp(-F.exp(F.col(mean) / model.temperature - model.cut))
+
+
+def effective_size(sample: DataFrame, column: str = "inclusion") -> float:
+    """Kish's effective size of a sample whose rows weigh 1 / inclusion."""
+    w = 1 / F.col(column)
+    one, two = sample.where(F.col(column) > 0).agg(F.sum(w), F.sum(w * w)).first()
+    return one * one / two if two else 0.0
+
+
 def kth_largest(keys: DataFrame, k: int) -> float:
     """The k-th largest value of the column ``key``: radix selection, 16 bits of the value a pass.
 
@@ -170,13 +186,14 @@ def _threshold(labelled: DataFrame) -> float:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", quality: str = "quality",
-    bits: int = BITS, temperature: float = 0.002, seed: int = 17,
+    bits: int = BITS, share: float | None = None, temperature: float = TEMPERATURE, seed: int = 17,
 ) -> tuple[Resampler, DataFrame, DataFrame]:
     """Fit both models on all rows, calibrate the threshold on all labels, and find the cut of the top k.
 
     The target is the text of documents labelled 1 (a document with several labels counts as the
-    worst), raw text is all.  k is the number of documents whose mean log ratio reaches the
-    threshold.  Returns the model, the written scores ``(id, mean, n_grams, key)`` of all rows, and
+    worst), raw text is all.  k is ``share`` of all documents; if that isn't given, the number of
+    those whose mean log ratio reaches the threshold.  Which k are drawn is up to the noise: a
+    document well over the cut is nearly sure to be among them, one near it may or may not.  Returns the model, the written scores ``(id, mean, n_grams, key)`` of all rows, and
     the ids of the target ``(id, target)``, with a broadcast hint where they are few.
     Without labels of both kinds every document with n-grams stays.
     """
@@ -188,28 +205,30 @@ def fit(
     marked = rows.join(good, "id", "left")
     model = Resampler(*_counts(marked.select("text", "target"), bits), -math.inf, temperature, seed)
     scored = score(marked, model, "text", "target", "mean", "n_grams").drop("text", "target")
-    scores = materialise(scored.withColumn("key", gumbel_key(model, "id", "mean")), "scores")
+    scores = materialise(scored.withColumn("key", gumbel_key(model, "id", "mean", "n_grams")), "scores")
     model.threshold = _threshold(scores.join(worst, "id"))
-    k = scores.where(F.col("mean") >= F.lit(model.threshold)).count()
+    k = scores.where(F.col("mean") >= F.lit(model.threshold)).count() if share is None else round(share * scores.count())
     model.cut = kth_largest(scores, k)
     return model, scores, good
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs`` with its weight and verdict: id, n_grams, log_weight, kept.
+    """Every row of ``docs`` with its weight and verdict: id, n_grams, log_weight, inclusion, kept.
 
-    log_weight is the mean log ratio per n-gram (null where a text has none: such rows are not
-    kept).  Rows that repeat have equal keys, so they are kept or not together; keys equal to the
-    k-th are all kept.  Null ids draw the same noise.  Further columns are ignored.
+    log_weight is the mean log ratio per n-gram, inclusion the probability of being kept at this cut
+    (both null where a text has no n-grams: such rows are not kept).  Rows that repeat have equal
+    keys, so they are kept or not together; keys equal to the k-th are all kept.  The noise of null
+    ids follows their numbers of n-grams alone.  Further columns are ignored; an empty table has no rows.
     """
     model, scores, _ = fit(docs, labels, **options)
     kept = F.coalesce(F.col("key") >= F.lit(model.cut), F.lit(False))
-    return scores.select(F.col("id").alias(options.get("id_col", "doc_id")), "n_grams", F.round("mean", 9).alias("log_weight"), kept.alias("kept"))
+    return scores.select(F.col("id").alias(options.get("id_col", "doc_id")), "n_grams", F.round("mean", 9).alias("log_weight"), F.when(F.col("mean").isNotNull(), F.round(inclusion(model, "mean"), 9)).alias("inclusion"), kept.alias("kept"))
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that the resampling keeps, with all their columns: scored again where they are read, not joined."""
     model, _, good = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    marked = docs.join(good.select(F.col("id").alias("__id"), F.col("target").alias("__target")), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    scored = score(marked, model, text_col, "__target", "__mean", "__grams")
-    return scored.where(gumbel_key(model, id_col, "__mean") >= F.lit(model.cut)).drop("__target", "__mean", "__grams")
+    own, target, mean, grams = (fresh_name(docs, c) for c in ("label_id", "is_target", "mean_ratio", "ratio_grams"))
+    marked = docs.join(good.select(F.col("id").alias(own), F.col("target").alias(target)), F.col(id_col) == F.col(own), "left").drop(own)
+    scored = score(marked, model, text_col, target, mean, grams)
+    return scored.where(gumbel_key(model, id_col, mean, grams) >= F.lit(model.cut)).drop(target, mean, grams)

@@ -159,6 +159,20 @@ def test_resampling(docs, none, labels):
     assert {r["kept"] for r in resample.importance_resample(docs, labels.limit(0)).where("n_grams > 0").collect()} == {True}
 
 
+def test_resampling_share(spark):
+    """k is a share of all rows; the noise, not the threshold, says which."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"{'good' if rng.random() < 0.5 + 0.01 * (i % 7) else 'bad'}{rng.integers(20)}" for _ in range(40))) for i in range(400)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 7 > 3)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    rows = resample.importance_resample(docs, labels, share=0.25)
+    got = rows.collect()
+    assert sum(r["kept"] for r in got) == 100
+    by_weight = {r["doc_id"] for r in sorted(got, key=lambda r: -r["log_weight"])[:100]}
+    assert {r["doc_id"] for r in got if r["kept"]} != by_weight
+    assert sum(r["inclusion"] for r in got) == pytest.approx(100, abs=25)
+    assert 1 < resample.effective_size(rows.where("kept")) <= 100
+
+
 def test_kth_largest(spark):
     values = [3.0, -1.5, 3.0, 0.0, -0.0, 1e300, -1e300, 2.5, float("-inf")]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "key double").repartition(3)

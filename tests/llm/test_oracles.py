@@ -75,6 +75,67 @@ def test_verdicts_follow_labels(name, spark):
     assert kept[1] > 0.97 and kept[0] < 0.1
 
 
+def test_resampling(spark, data, documents):
+    """The query against plain loops: own n-grams, models, threshold, noise and top k."""
+    import struct
+
+    import xxhash
+
+    from corpusrank.llm import bytetext as bt
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    hashes = {}
+
+    def word_hash(word):
+        if word not in hashes:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            hashes[word] = int(bt.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+        return hashes[word]
+
+    size, grams = 1 << 18, {}
+    for d, text in documents:
+        words = [word_hash(w) for w in WORD.findall(lower(text or ""))]
+        pairs = [mixed(mixed(2 * 0x9FB21C651E98DF25 + a & mask) * 0x9FB21C651E98DF25 + b & mask) for a, b in zip(words, words[1:])]
+        grams[d] = Counter(h >> 46 for h in words + pairs)
+    raw, target = Counter(), Counter()
+    for d, own in grams.items():
+        raw.update(own)
+        target.update(own if labels.get(d) == 1 else ())
+    all_raw, all_target, means = sum(raw.values()), sum(target.values()), {}
+    for d, own in grams.items():
+        seen = {g: target[g] - (own[g] if labels.get(d) == 1 else 0) for g in own}
+        total = all_target - (sum(own.values()) if labels.get(d) == 1 else 0)
+        if own:
+            means[d] = sum(c * (math.log((seen[g] + 1) / (total + size)) - math.log((raw[g] + 1) / (all_raw + size))) for g, c in own.items()) / sum(own.values())
+    bins = {d: math.floor(max(-20, min(20, means[d])) * 500) for d in means}
+    rated = [(bins[d], labels[d]) for d in means if d in labels]
+    share = lambda y, ok: sum(ok(b) for b, v in rated if v == y) / sum(v == y for _, v in rated)
+    gains = {c: share(0, lambda b: b < c) - share(1, lambda b: b < c) for c in range(-10_000, 10_002)}
+    top = [c for c, g in gains.items() if g >= max(gains.values()) - 1e-12]
+    run = next(i for i in range(1, len(top) + 1) if i == len(top) or top[i] != top[i - 1] + 1)
+    threshold = (top[0] + top[run - 1]) / 2 / 500
+    keys = {}
+    for d, m in means.items():
+        h = 42
+        for part in (struct.pack("<q", d), struct.pack("<q", sum(grams[d].values())), struct.pack("<i", 17)):
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        keys[d] = m / 0.01 - math.log(-math.log(((h >> 11) + 0.5) / 2.0**53))
+    k = sum(m >= threshold for m in means.values())
+    kept = set(sorted(keys, key=lambda d: -keys[d])[:k])
+    got = {r["doc_id"]: r for r in q.op6_importance_resample(spark, data).collect()}
+    assert {d for d, r in got.items() if r["kept"]} == kept
+    assert all(got[d]["n_grams"] == sum(grams[d].values()) and (got[d]["log_weight"] == pytest.approx(means[d], abs=1e-8) if d in means else got[d]["log_weight"] is None) for d in grams)
+
+
 def test_language_model(spark, data, documents):
     counts, held = Counter(), {}
     for doc_id, text in documents:

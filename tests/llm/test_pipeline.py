@@ -42,8 +42,8 @@ def kept(spark):
     best = np.flatnonzero(right >= right.max() - 1e-12)
     run = best[: np.argmax(np.diff(np.concatenate([best, [10**9]])) > 1) + 1]
     threshold = (cuts[run[0]] + cuts[run[-1]]) / 2 / resample.BINS_PER_NAT
-    model = resample.Resampler(raw, target, threshold, 0.002, 17)
-    noisy = spark.createDataFrame([(d, float(m)) for d, m in means.items() if m is not None], "id long, mean double").withColumn("key", resample.gumbel_key(model, "id", "mean"))
+    model = resample.Resampler(raw, target, threshold, resample.TEMPERATURE, 17)
+    noisy = spark.createDataFrame([(d, float(m), len(grams[d])) for d, m in means.items() if m is not None], "id long, mean double, n long").withColumn("key", resample.gumbel_key(model, "id", "mean", "n"))
     keys = {r["id"]: r["key"] for r in noisy.collect()}
     k = sum(m is not None and m >= threshold for m in means.values())
     stages = [sorted(sorted(keys, key=lambda d: -keys[d])[:k])]
