@@ -17,7 +17,7 @@ from .storage import materialise
 WINDOW = 8
 MAX_FIT_ROWS = 25_600
 """Most labelled rows that the trees are drawn from; the threshold uses all."""
-TREES, SAMPLE = 128, 256
+TREES, SAMPLE = 256, 256
 BINS = 4000
 
 _SYMBOL = np.zeros(256, bool)
@@ -80,7 +80,7 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     words, chars = s["n_words"] + 25, s["word_chars"] + 150
     return np.stack([
         np.sqrt(s["n_symbols"] / words), np.sqrt(s["n_shouts"] / words), np.sqrt(s["n_upper"] / chars), s["n_same"] / words,
-        (s["n_dup_lines"] / (s["n_lines"] + 5)) ** 4, (s["n_digits"] / chars) ** 2, (s["n_repeat_words"] / words) ** 2.5, (1 - (1 + np.log1p(s["n_distinct"])) / (1 + np.log1p(s["n_words"]))) ** 4, np.log((s["word_chars"] + 130) / words / 5.2) ** 2,
+        (s["n_dup_lines"] / (s["n_lines"] + 5)) ** 4, (s["n_digits"] / chars) ** 2, (s["n_repeat_words"] / words / 0.3) ** 4, (1 - (1 + np.log1p(s["n_distinct"])) / (1 + np.log1p(s["n_words"]))) ** 4, np.log((s["word_chars"] + 130) / words / 5.2) ** 2,
     ], axis=1)
 
 
