@@ -43,11 +43,13 @@ def number_articles(pages: DataFrame) -> DataFrame:
 def resolve_redirects(redirects: DataFrame, targets: DataFrame) -> DataFrame:
     """``redirects(title, target)`` and ``targets(title, node_id)`` -> (title, node_id) of redirects that lead to a target.
 
-    Pointers are doubled until none moves: a chain of n redirects takes about log2 n rounds.  Cycles
-    and chains that end nowhere drop out.
+    Pointers are doubled until none moves: a chain of n redirects takes about log2 n rounds.  After
+    as many rounds as the longest possible chain needs, only pointers in or into cycles still move;
+    they drop out, as do chains that end nowhere.  Of several targets of one title the least stays.
     """
-    now = materialise(redirects.select("title", "target").where("title <> target").join(targets.select("title"), "title", "left_anti"), "redirects")
-    while True:
+    once = redirects.where("title is not null and target is not null and title <> target").groupBy("title").agg(F.min("target").alias("target"))
+    now = materialise(once.join(targets.select("title"), "title", "left_anti"), "redirects")
+    for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("title").alias("target"), F.col("target").alias("further"))
         jumped = now.join(ahead, "target", "left").select("title", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved"))
         jumped = materialise(jumped.where("title <> target"), "redirects")

@@ -88,6 +88,20 @@ def redirect_resolution(spark, d):
     return graph.resolve_redirects(redirects, orders.where("k % 2 = 0").select(F.col("k").cast("string").alias("title"), F.col("k").alias("node_id")))
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT o_orderkey AS k, o_orderkey - o_orderkey % 8 AS base, o_orderkey % 8 AS j FROM orders),
+e AS (SELECT k, CASE WHEN j IN (1, 2) THEN base + j - 1 WHEN j = 3 THEN base + 5 WHEN j IN (4, 5) THEN base + j - 1 WHEN j = 6 THEN base + 5 ELSE base + 1 END AS nxt FROM t WHERE j > 0),
+r(k, cur, steps) AS (SELECT k, nxt, 1 FROM e UNION ALL SELECT r.k, e.nxt, r.steps + 1 FROM r JOIN e ON e.k = r.cur WHERE r.steps < 8)
+SELECT CAST(r.k AS VARCHAR) AS title, r.cur AS node_id FROM r JOIN t ON t.k = r.cur WHERE t.j = 0
+""")
+def redirect_cycles(spark, d):
+    """In each run of eight orders: 1, 2 and 7 lead to the article 0; 3, 5 and 4 are a cycle, and 6 a tail into it."""
+    k, base, j = F.col("o_orderkey"), F.col("o_orderkey") - F.col("o_orderkey") % 8, F.col("o_orderkey") % 8
+    to = F.when(j.isin(1, 2, 4, 5), base + j - 1).when(j.isin(3, 6), base + 5).otherwise(base + 1)
+    redirects = table(spark, d, "orders").where(j > 0).select(k.cast("string").alias("title"), to.cast("string").alias("target"))
+    return graph.resolve_redirects(redirects, table(spark, d, "orders").where(j == 0).select(k.cast("string").alias("title"), k.alias("node_id")))
+
+
 def _lineitem_edges(spark, d) -> DataFrame:
     links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("title"))
     titles = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").cast("string").alias("title"), F.col("p_partkey").alias("node_id"))
@@ -337,12 +351,13 @@ def term_weights(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    """Each part links to the parts of the first orders' items, in line order."""
-    items = table(spark, d, "lineitem").where("l_orderkey <= 600")
-    return items.select((F.col("l_orderkey") % 60 + 1).alias("src"), F.col("l_partkey").alias("dst"), F.least(F.lit(7), F.col("l_linenumber") - 1).alias("link_idx"))
+    """Every order's items as links, in line order; the order's key, folded onto the parts, is the source."""
+    parts = table(spark, d, "part").agg(F.max("p_partkey").alias("parts"))
+    items = table(spark, d, "lineitem").crossJoin(F.broadcast(parts))
+    return items.select((F.col("l_orderkey") % F.col("parts") + 1).alias("src"), F.col("l_partkey").alias("dst"), F.least(F.lit(7), F.col("l_linenumber") - 1).alias("link_idx"))
 
 
-_EDGE_SQL = "e AS (SELECT DISTINCT l_orderkey % 60 + 1 AS src, l_partkey AS dst, least(7, l_linenumber - 1) AS idx FROM lineitem WHERE l_orderkey <= 600)"
+_EDGE_SQL = "e AS (SELECT DISTINCT l_orderkey % (SELECT max(p_partkey) FROM part) + 1 AS src, l_partkey AS dst, least(7, l_linenumber - 1) AS idx FROM lineitem)"
 _DISAMBIG_SQL = """x AS (SELECT src, dst, p_retailprice AS v, row_number() OVER (PARTITION BY src ORDER BY idx, dst DESC) AS r FROM e JOIN part ON p_partkey = dst WHERE src % 3 = 0),
 y AS (SELECT *, CASE WHEN r <= 4 THEN v * [5, 4, 2, 1][least(r, 4)] ELSE 0 END AS early FROM x),
 z AS (SELECT src, dst, v / sum(v) OVER w AS w1, CASE WHEN count(*) OVER w > 4 THEN early / sum(early) OVER w ELSE 0 END AS w2, least(0.75, log2(greatest(1, count(*) OVER w - 4)) / 8) AS alpha FROM y WINDOW w AS (PARTITION BY src)),
@@ -432,9 +447,11 @@ def summary_index(spark, d):
     return dense_ids(mentions.ever_top(_quarter_ranks(spark, d), 2), ["node_id"], "summary_index")
 
 
-@query(f"WITH {_MONTHS} SELECT quarter, node_id, row_number() OVER (PARTITION BY quarter ORDER BY rank) AS place FROM rk WHERE node_id IN (SELECT c_custkey FROM customer WHERE c_custkey <= 10)")
+@query(f"WITH {_MONTHS} SELECT quarter, node_id, row_number() OVER (PARTITION BY quarter ORDER BY rank) AS place FROM rk WHERE node_id IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1)")
 def comparative_rank(spark, d):
-    chosen = table(spark, d, "customer").where("c_custkey <= 10").select(F.col("c_custkey").alias("node_id"))
+    """Ranks among the customers of one region."""
+    region = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    chosen = table(spark, d, "customer").join(region, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("node_id"))
     return mentions.comparative_ranks(_quarter_ranks(spark, d), chosen).withColumn("place", _long("place"))
 
 

@@ -17,6 +17,14 @@ def test_redirects(spark):
     assert rows(found) == sorted([("A", 7), ("B", 7), *((f"c{i}", 7) for i in range(21))])
 
 
+@pytest.mark.parametrize("cycle", [1, 2, 3, 5, 6])
+def test_redirect_cycles_end(spark, cycle):
+    """A cycle and a tail into it lead nowhere; a chain beside them does."""
+    pairs = [(f"x{i}", f"x{(i + 1) % cycle}") for i in range(cycle)] + [("t2", "t1"), ("t1", "x0"), ("a", "b"), ("b", "C")]
+    found = graph.resolve_redirects(spark.createDataFrame(pairs, "title string, target string"), spark.createDataFrame([("C", 7)], "title string, node_id long"))
+    assert rows(found) == [("a", 7), ("b", 7)]
+
+
 def test_collisions(spark):
     pages = spark.createDataFrame([(5, "t", "2020"), (3, "t", "2021"), (8, "u", "2020"), (9, "u", "2020")], "id long, title string, timestamp string")
     assert rows(graph.overwritten(pages)) == [(5,), (8,)]
