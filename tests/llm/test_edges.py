@@ -245,7 +245,30 @@ def test_mix(spark, docs, none):
         pfair.mix_schedule(docs, weights={"a": 0.0}).collect()
     many = spark.range(2000).selectExpr("id as doc_id", "cast(id as string) as source")
     with pytest.raises(ValueError, match="sources"):
-        pfair.mix_schedule(many).collect()
+        pfair.mix_schedule(many, max_sources=512).collect()
+
+
+def test_mix_blocks_grow(spark, monkeypatch):
+    """The plan's size is bounded by larger blocks, also with names as ids and columns of the same names."""
+    monkeypatch.setattr(pfair, "MAX_BLOCKS", 10)
+    docs = spark.range(1000).selectExpr("concat('d', id) as doc_id", "if(id % 4 = 0, 'a', 'b') as source", "1 as mix_key", "2 as mix_position")
+    rows = pfair.mix_schedule(docs, block_docs=2).collect()
+    assert sorted(r["position"] for r in rows) == list(range(1000)) and max(r["block"] for r in rows) < 10 and len({r["doc_id"] for r in rows}) == 1000
+    mixed = pfair.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.agg(F.sum("mix_key"), F.sum("mix_position")).first() == (1000, 2000)
+
+
+def test_tokens_of_one_key(spark, tokenizer):
+    """Very many rows of one id, and without one, spread over shards and always come in the same order."""
+    docs = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "concat('text ', id % 1500) as text")
+    layouts = []
+    for n in (3, 8):
+        store = token_store.write_store(docs.repartition(n), tokenizer, shard_bytes=1 << 13)
+        assert len(store.shards) > 4 and max(k for _, k, _ in store.shards) < 3000
+        layouts.append(sorted(token_store.read_store(spark, store).collect(), key=lambda r: r["start"]))
+    assert layouts[0] == layouts[1] and len(layouts[0]) == 6000 and all(r["indexed"] == (r["doc_id"] is not None) for r in layouts[0])
+    named = token_store.read_store(spark, token_store.write_store(spark.createDataFrame([("12", "a"), ("x", "b")], "doc_id string, text string"), tokenizer))
+    assert sorted((r["doc_id"] or 0, r["indexed"]) for r in named.collect()) == [(0, False), (12, True)]
 
 
 def test_mix_many_sources(spark, tmp_path):

@@ -162,4 +162,16 @@ def test_mix(spark, data, documents):
     rows = sorted(q.op9_pfair_mix(spark, data).collect(), key=lambda r: r["position"])
     assert [r["position"] for r in rows] == list(range(len(documents)))
     assert sorted(r["doc_id"] for r in rows) == sorted(d for d, _ in documents)
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    # The fluid mix and earliest-deadline-first, slot by slot.
+    sizes = Counter(r["source"] for r in rows)
+    names = sorted(sizes)
+    blocks, weight = {s: -(-sizes[s] // 16) for s in names}, {s: sizes[s] ** 0.5 for s in names}
+    fluid = lambda v: round(sum(min(blocks[s], v * weight[s]) for s in names), 7)
+    windows = [(math.ceil(fluid((j + 1) / weight[s])), at, s, j, math.floor(fluid(j / weight[s]))) for at, (s, j) in enumerate((s, j) for s in names for j in range(blocks[s]))]
+    slots = {}
+    for slot in range(len(windows)):
+        deadline, _, s, j, _ = best = min(w for w in windows if w[4] <= slot)
+        assert slot < deadline
+        slots[s, j] = slot
+        windows.remove(best)
+    assert all(slots[r["source"], r["block"]] == r["slot"] for r in rows)
