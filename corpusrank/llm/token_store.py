@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .perfect_hash import IndexPart
-from .storage import materialise, new_path
+from .storage import materialise, new_path, text_volume
 from .wordids import encoder
 
 END_ID = 1
@@ -92,7 +92,9 @@ def write_store(
 
     Documents are laid out ascending by ``order_by`` (``id_col`` if not given; null first).  A null
     text is empty: its only id is the end id.  Rows that repeat a key are all written, the index
-    names the first; rows without a key are written but not indexed.  An empty table gives a store
+    names the first; rows without a key are written but not indexed.  Keys are whole numbers (or
+    texts of such); any other counts as none.  Rows that are equal in the order follow a hash of
+    their texts, so a table always gives the same layout.  An empty table gives a store
     without shards.  Only the names and totals of shards and parts reach the driver.
     """
     spark = docs.sparkSession
@@ -100,10 +102,11 @@ def write_store(
     system, at = fs.FileSystem.from_uri(path)
     system.create_dir(at, recursive=True)
     order = order_by or [id_col]
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_shards = min(max(size // shard_bytes, 2 * spark.sparkContext.defaultParallelism), 1 << 20)
-    rows = docs.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    keys = [f"o{i}" for i in range(len(order))]
+    n_shards = max(text_volume(docs, text_col) // shard_bytes, 2 * spark.sparkContext.defaultParallelism)
+    rows = docs.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(id_col).try_cast("long").alias("key"), F.col(text_col).alias("text"))
+    # Rows of one key (or of none) are told apart by their texts, so they spread over shards and always come in one order.
+    rows = rows.withColumn("tie", F.xxhash64("key", "text"))
+    keys = [*(f"o{i}" for i in range(len(order))), "tie"]
     laid = rows.repartitionByRange(int(n_shards), *keys).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +146,17 @@ def write_store(
         from pyspark import TaskContext
 
         table = pa.Table.from_batches(list(batches))
-        part, key, shard, offset, size = (c.to_numpy() for c in table.columns)
-        order = np.lexsort((offset, shard, key))
-        part, key, shard, offset, size = (c[order] for c in (part, key, shard, offset, size))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        copies = np.diff(np.concatenate([first, [len(key)]]))
-        made = IndexPart.build(key[first], shard[first], offset[first], size[first], copies)
+        part, key, shard, offset, size, copies = (c.to_numpy() for c in table.columns)
+        made = IndexPart.build(key, shard, offset, size, np.minimum(copies, 2**32 - 1))
         name = f"index-{part[0]:06d}-{TaskContext.get().taskAttemptId()}.npz"
         with _open_out(f"{path}/{name}") as out:
             out.write(made.dump())
         yield pa.RecordBatch.from_pylist([{"part": int(part[0]), "name": name}])
 
-    built = places.where("part >= 0").groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(build(t.to_batches())), "part long, name string")
+    # One row a key reaches the index, however many copies it has.
+    place = F.struct("shard", "offset", "n_tokens")
+    keyed = places.where("part >= 0").groupBy("part", "key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies")).select("part", "key", "at.*", "copies")
+    built = keyed.groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(build(t.to_batches())), "part long, name string")
     names = {r["part"]: r["name"] for r in materialise(built, "parts").collect()}
     return TokenStore(path, shards, _fill_parts(path, names, n_parts), dtype)
 
@@ -227,4 +229,5 @@ def read_store(spark: SparkSession, store: TokenStore, id_col: str = "doc_id") -
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(start), batch.column("n_tokens"), batch.column("ids_crc32"), pa.array(indexed)], names=[id_col, "start", "n_tokens", "ids_crc32", "indexed"])
 
     rows = _shard_frame(spark, store.shards).mapInArrow(read, "part long, key long, shard long, offset long, n_tokens long, ids_crc32 long")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(look_up, schema)
+    # A part with very many rows (copies of one key, or rows without) is split.
+    return rows.hint("rebalance", "part").mapInArrow(look_up, schema)
