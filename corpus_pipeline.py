@@ -52,7 +52,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the Pfair mix of their sources; a null source is a source, and repeated or null ids are placed each."""
     storage.small_batches(spark)
-    return pfair.mix_documents(docs, max_sources=None)
+    return pfair.mix_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +63,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     storage.small_batches(spark)
     try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        order = ["__file", "__row"]
+        order = [storage.fresh_name(docs, c) for c in ("file_number", "file_name", "row_number")]
+        name = F.col("_metadata.file_name")
+        docs = docs.select("*", *(c.alias(o) for c, o in zip((F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")), order)))
     except AnalysisException:  # not read from files as they are
         order = ["doc_id"]
     store = token_store.write_store(docs, public_tokenizers.path(TOKENIZER), order_by=order)
