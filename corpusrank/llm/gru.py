@@ -11,6 +11,10 @@ import numpy as np
 HIDDEN = 24
 CLASS_SIZE = 64
 F32 = np.float32
+FREQUENT = 16
+"""A word of a window with more rows than that is summed on its own."""
+UPDATE_BLOCK = 16_384
+"""Parameters that are updated together, so that all passes over them find them in the cache."""
 
 
 @dataclass
@@ -94,6 +98,27 @@ class Lanes:
             at += n
 
 
+def sums_by_word(rows: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that occur, the most frequent ones first, and the sums of their rows.
+
+    Rows of a frequent word are summed by a product with ones; of all others the first rows, then the second ones, and so on.
+    """
+    order = np.argsort(word.astype(np.uint16 if words <= 1 << 16 else np.int64), kind="stable")
+    word, rows = word[order], np.take(rows, order, axis=0)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    count = np.diff(np.concatenate([first, [len(word)]]))
+    by = np.argsort(-count, kind="stable")
+    first, count = first[by], count[by]
+    more = np.searchsorted(-count, -np.arange(FREQUENT + 1)).tolist()  # how many words have more than 0, 1, ... rows
+    sums, ones = np.take(rows, first, axis=0), np.ones(int(count.max(initial=0)), F32)
+    for j in range(1, FREQUENT):
+        here = slice(more[FREQUENT], more[j])
+        sums[here] += np.take(rows, first[here] + j, axis=0)
+    for i, (a, n) in enumerate(zip(first[: more[FREQUENT]].tolist(), count.tolist())):
+        np.matmul(ones[:n], rows[a : a + n], out=sums[i])
+    return word[first], sums
+
+
 class Model:
     """Forward and backward passes over one window of steps.
 
@@ -110,11 +135,12 @@ class Model:
     def recur(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool = False) -> tuple[np.ndarray, np.ndarray, tuple | None]:
         """Hidden states for inputs ``x`` (steps, lanes); ``keep`` is 0 where a document starts."""
         k, steps = self.shape.hidden, len(x)
-        gates = self.p["Eg"][:, x]  # keep and reset, each (steps, lanes, hidden)
-        new = self.p["En"][x]
-        ug, un = self.p["Ug"], self.p["Un"]
+        eg, en, ug, un = (self.p[name] for name in ("Eg", "En", "Ug", "Un"))
         out = np.empty((*x.shape, k), F32)
-        before, inner = (np.empty_like(out), np.empty_like(out)) if store else (None, np.empty((1, *out.shape[1:]), F32))
+        # Of all steps where they are kept, else of the step at hand alone, which stays in the cache: gates keep and reset, the new state, the inputs of both.
+        held = steps if store else min(1, steps)
+        gates, new, inner = np.empty((held, 2, *out.shape[1:]), F32), np.empty((held, *out.shape[1:]), F32), np.empty((held, *out.shape[1:]), F32)
+        before = np.empty_like(out) if store else None
         both, part = np.empty((2, *out.shape[1:]), F32), np.empty(out.shape[1:], F32)
         fresh = (keep.min(axis=1) == 0).tolist()
         with np.errstate(over="ignore"):
@@ -123,72 +149,80 @@ class Model:
                     h = h * keep[t][:, None]
                 if store:
                     before[t] = h
-                g = gates[:, t]
+                at = t if store else 0
+                g = np.take(eg, x[t], axis=1, out=gates[at], mode="clip")
                 g += np.matmul(h, ug, out=both)
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
-                n = new[t]
-                n += np.multiply(g[1], np.matmul(h, un, out=inner[t if store else 0]), out=part)
+                n = np.take(en, x[t], axis=0, out=new[at], mode="clip")
+                n += np.multiply(g[1], np.matmul(h, un, out=inner[at]), out=part)
                 np.tanh(n, out=n)
                 after = out[t]
                 np.subtract(h, n, out=after)
                 after *= g[0]
                 after += n
                 h = after
-        return out, h.copy() if steps else h, (before, gates[0], gates[1], new, inner) if store else None
+        return out, h.copy() if steps else h, (before, gates[:, 0], gates[:, 1], new, inner) if store else None
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P of targets ``y`` after states ``hs``: of the class, and of the word in its class; with ``grad``, also d/d hs of the mean loss."""
-        p, n = self.p, len(y)
+        p, n, k = self.p, len(y), self.shape.hidden
         size = self.shape.class_size
         cls = y // size
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cls, word, hs = cls[order], (y % size)[order], hs[order]
-        bounds = np.searchsorted(cls, np.arange(self.shape.words // size + 1))
-        row = np.arange(n)
-        ones = np.ones(max(n, size, len(bounds)), F32)
+        cls, word = cls[order], (y % size)[order]
+        bounds = np.searchsorted(cls, np.arange(self.shape.words // size + 1)).tolist()
+        # A last input of 1 has the bias as its weights.
+        inputs = np.ones((n, k + 1), F32)
+        inputs[:, :k] = np.take(hs, order, axis=0)
+        class_weights, word_weights = np.concatenate([p["Wc"], p["bc"][None]]), np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
         # States lie within -1..1, so weights bound the logits.
-        small = max(np.abs(p["Wc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), np.abs(p["Wo"]).sum(axis=1).max() + np.abs(p["bo"]).max()) < 80
+        small = max(np.abs(class_weights).sum(axis=0).max(), np.abs(word_weights).sum(axis=1).max()) < 80
+        parts = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
-        def softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            e = h @ weights
-            e += bias
+        def softmax(e: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """ln P of the targets, exp of the logits in their place, and sums of those; places of targets."""
             if not small:
                 np.clip(e, -80, 80, out=e)
-            picked = e[rows, at]
+            places = np.arange(0, e.size, e.shape[1]) + at
+            picked = e.ravel()[places]
             np.exp(e, out=e)
-            total = e @ ones[: e.shape[1]]
-            return e, picked - np.log(total), total
+            total = e @ np.ones(e.shape[1], F32)
+            return picked - np.log(total), total, places
 
-        def loss(e: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-            e *= (1 / (total * F32(n)))[:, None]
-            e[rows, at] -= F32(1 / n)
+        def loss(e: np.ndarray, total: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Makes the slopes of the mean loss from ``e``, but for a factor a row; the factors, and the inputs times them."""
+            e.ravel()[places] -= total
+            factor = (1 / (total * F32(n)))[:, None]
+            return factor, inputs * factor
 
-        e, logs, total = softmax(hs, p["Wc"], p["bc"], cls, row)
+        e = inputs @ class_weights
+        logs, total, places = softmax(e, cls)
         dh = None
         if grad is not None:
-            loss(e, total, cls, row)
-            grad["Wc"] += hs.T @ e
-            grad["bc"] += ones[:n] @ e
+            factor, scaled = loss(e, total, places)
+            made = scaled.T @ e
+            grad["Wc"][:], grad["bc"][:] = made[:k], made[k]
             dh = e @ p["Wc"].T
-        for c in np.flatnonzero(np.diff(bounds)):
-            s = slice(bounds[c], bounds[c + 1])
-            rows = row[: bounds[c + 1] - bounds[c]]
-            e, more, total = softmax(hs[s], p["Wo"][c], p["bo"][c], word[s], rows)
-            logs[s] += more
-            if grad is not None:
-                loss(e, total, word[s], rows)
-                grad["Wo"][c] += hs[s].T @ e
-                grad["bo"][c] += ones[: len(e)] @ e
-                dh[s] += e @ p["Wo"][c].T
-        out = np.empty(n, F32)
-        out[order] = logs
-        if dh is None:
-            return out, None
-        back = np.empty_like(dh)
-        back[order] = dh
-        return out, back
+            dh *= factor
+        e = np.empty((n, size), F32)
+        for c, s in parts:
+            np.matmul(inputs[s], word_weights[c], out=e[s])
+        more, total, places = softmax(e, word)
+        logs += more
+        if grad is not None:
+            factor, scaled = loss(e, total, places)
+            made, added = np.zeros_like(word_weights), np.empty_like(dh)
+            for c, s in parts:
+                np.matmul(scaled[s].T, e[s], out=made[c])
+                np.matmul(e[s], p["Wo"][c].T, out=added[s])
+            grad["Wo"][:], grad["bo"][:] = made[:, :k], made[:, k]
+            added *= factor
+            dh += added
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        return logs[back], None if dh is None else np.take(dh, back, axis=0)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, there: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of the mean loss of one window, the state after it, and the loss."""
@@ -214,33 +248,30 @@ class Model:
         to_r = np.subtract(r, 1)
         to_r *= r
         to_r *= inner
-        da, dg, dn = np.empty_like(hs), np.empty((2, *hs.shape), F32), np.empty_like(hs)
-        carried, both = np.zeros_like(h), np.empty((2, *h.shape), F32)
-        ug, un = self.p["Ug"].transpose(0, 2, 1).copy(), self.p["Un"].T.copy()
+        # Of both gates and the new state side by side: one product and one sum by word serve them all.
+        d, dn = np.empty((*hs.shape[:2], 3 * k), F32), np.empty_like(hs)
+        carried, part, dan = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+        ug, un = self.p["Ug"].transpose(0, 2, 1).reshape(2 * k, k), self.p["Un"].T.copy()
         fresh = (keep.min(axis=1) == 0).tolist()
         for t in range(len(x) - 1, -1, -1):
             carried += dhs[t]
-            dan = np.multiply(carried, to_n[t], out=da[t])
-            np.multiply(carried, to_z[t], out=dg[0, t])
-            np.multiply(dan, to_r[t], out=dg[1, t])
+            here = d[t]
+            np.multiply(carried, to_n[t], out=dan)
+            here[:, 2 * k :] = dan
+            np.multiply(carried, to_z[t], out=here[:, :k])
+            np.multiply(dan, to_r[t], out=here[:, k : 2 * k])
             np.multiply(dan, r[t], out=dn[t])
             carried *= z[t]
-            np.matmul(dg[:, t], ug, out=both)
-            carried += both[0]
-            carried += both[1]
-            carried += dn[t] @ un
+            carried += np.matmul(here[:, : 2 * k], ug, out=part)
+            carried += np.matmul(dn[t], un, out=part)
             if fresh[t]:
                 carried *= keep[t][:, None]
-        past = before.reshape(-1, k).T
-        grad["Ug"][0] = past @ dg[0].reshape(-1, k)
-        grad["Ug"][1] = past @ dg[1].reshape(-1, k)
+        past, d = before.reshape(-1, k).T, d.reshape(-1, 3 * k)
+        grad["Ug"][:] = (past @ d[:, : 2 * k]).reshape(k, 2, k).transpose(1, 0, 2)
         grad["Un"][:] = past @ dn.reshape(-1, k)
-        at = x.ravel()
-        order = np.argsort(at.astype(np.uint16 if self.shape.words <= 1 << 16 else np.int64), kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        for target, d in ((grad["Eg"][0], dg[0]), (grad["Eg"][1], dg[1]), (grad["En"], da)):
-            target[at[first]] = np.add.reduceat(d.reshape(-1, k)[order], first, axis=0)
+        seen, sums = sums_by_word(d, x.ravel(), self.shape.words)
+        for i, target in enumerate((grad["Eg"][0], grad["Eg"][1], grad["En"])):
+            target[seen] = sums[:, i * k : (i + 1) * k]
         return flat, last, -float(logs.mean())
 
 
@@ -273,16 +304,20 @@ class Trainer:
             grad *= F32(min(1.0, here / full) / max(1.0, norm))
             self.t += 1
             # Both moments without the factors that would make means of them: those are part of the rate.
-            self.m *= F32(0.9)
-            self.m += grad
-            self.v *= F32(0.99)
-            grad *= grad
-            self.v += grad
-            np.sqrt(self.v, out=grad)
-            grad += F32(1e-7)
-            np.divide(self.m, grad, out=grad)
-            grad *= F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
-            self.model.flat -= grad
+            rate = F32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+            for low in range(0, len(grad), UPDATE_BLOCK):
+                part = slice(low, low + UPDATE_BLOCK)
+                g, m, v = grad[part], self.m[part], self.v[part]
+                m *= F32(0.9)
+                m += g
+                v *= F32(0.99)
+                g *= g
+                v += g
+                np.sqrt(v, out=g)
+                g += F32(1e-7)
+                np.divide(m, g, out=g)
+                g *= rate
+                self.model.flat[part] -= g
             self.seen += here
             self.loss += loss * here
 

@@ -47,11 +47,27 @@ def model_shape(tokens: int, hidden: int) -> Shape:
     return Shape(-(-entries // size) * size, hidden, size)
 
 
+def _look_table() -> np.ndarray:
+    """Looks by last byte, the byte before it, and whether the word has one byte, two to eight, or more."""
+    low = bt._VALUES[True] >> U64(40)
+    last, before = low[None, :], low[:, None]
+    of = lambda before, longer: bt.mix(last * U64(31) + before + U64(7) * U64(longer)) >> U64(48)
+    return np.concatenate([np.broadcast_to(of(U64(0), 0), (256, 256)), of(before, 0), of(before, 1)]).astype(np.uint16).ravel()
+
+
+_LOOKS = _look_table()
+
+
 def _looks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number by how a word looks: its last two bytes, and whether it is longer than eight bytes; bins are cut from it."""
-    low = bt._VALUES[True] >> U64(40)
-    last, before = low[data[ends - 1]], np.where(ends - starts > 1, low[data[np.maximum(ends - 2, 0)]], U64(0))
-    return (bt.mix(last * U64(31) + before + U64(7) * (ends - starts > 8).astype(U64)) >> U64(48)).astype(np.uint16)
+    size = ends - starts
+    at = (size > 1).astype(np.int32)
+    at += size > 8
+    at <<= 8
+    at += data[np.maximum(ends - 2, 0)]
+    at <<= 8
+    at += data[ends - 1]
+    return _LOOKS[at]
 
 
 class Words:
@@ -176,6 +192,8 @@ class Vocabulary:
         self.reach = int((stands - place).max()) + 1 if head else 0
         self.table = np.full((1 << (64 - self.shift)) + self.reach + 1, -1, np.int32)
         self.table[stands] = np.arange(len(place))
+        # Of each hash of the head, and at last of any other word: entry, and log10(count + 1).
+        self.entry_of, self.log_of = np.append(self.entry, -1), np.append(np.log10(self.c + 1.0), 0.0)
         self.docs = docs
         n, v = np.zeros(self.bins, np.int64), np.zeros(self.bins, np.int64)
         for r in totals:
@@ -192,8 +210,7 @@ class Vocabulary:
         self.counts[self.first : self.first + known] = [r["c"] for r in head[:known]]
 
     def look_up(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Model entry of each word, its count where the head has it, and whether it has."""
-        binned = 1 + (w.look % np.uint16(self.bins)).astype(np.int64)
+        """Model entry of each word, log10(count + 1) where the head has it, and whether it has."""
         found = np.full(len(w.hash), -1, np.int32)
         place, left = (w.hash >> U64(self.shift)).astype(np.int64), np.arange(len(w.hash))
         for step in range(self.reach):
@@ -203,8 +220,10 @@ class Vocabulary:
             found[left[same]] = at[same]
             left, place = left[~same], place[~same]
         there = found >= 0
-        entry = np.append(self.entry, -1)[found]
-        return np.where(entry < 0, binned, entry), np.append(self.c, 0)[found], there
+        entry = self.entry_of[found]
+        binned = np.flatnonzero(entry < 0)
+        entry[binned] = 1 + w.look[binned] % np.uint16(self.bins)
+        return entry, self.log_of[found], there
 
     def sequence(self, entry: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts with their ends, and lengths."""
@@ -242,10 +261,10 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
         for batch in batches:
             for part, data, offsets in bt.pieces(batch, "text"):
                 w = Words(data, offsets)
-                entry, count, there = vocabulary.look_up(w)
+                entry, logs, there = vocabulary.look_up(w)
                 rows = part.num_rows
                 tokens, lengths = vocabulary.sequence(entry, w)
-                logs = np.where(there, np.log10(count + 1.0), 0)
+                binned = np.flatnonzero(entry < vocabulary.first)
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(w.hash)])
                 ends = np.cumsum(w.count)
                 named, id_offsets = bt.column_bytes(part.column("id").cast(pa.string()))
@@ -253,7 +272,7 @@ def _encode(vocabulary: Vocabulary, schema: pa.Schema):
                 made = {
                     "ids": part.column("id"), "n": lengths, "held": part.column("held").to_numpy(zero_copy_only=False), "key": bt.mix(of_id + bt.mix(sums[ends] - sums[ends - w.count])), "known": np.bincount(w.row[there], minlength=rows) + (vocabulary.docs > 0),
                     "base": np.bincount(w.row, weights=logs, minlength=rows) + np.log10(vocabulary.docs + 1.0),
-                    "inside": np.bincount(w.row, weights=np.where(entry < vocabulary.first, logs - vocabulary.in_bin[w.look % np.uint16(vocabulary.bins)], 0), minlength=rows),
+                    "inside": np.bincount(w.row[binned], weights=logs[binned] - vocabulary.in_bin[entry[binned] - 1], minlength=rows),
                     "tokens": tokens.astype(kind), "rare": w.hash[~there], "rare_row": w.row[~there] + docs,
                 }
                 for c, v in made.items():

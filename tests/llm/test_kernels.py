@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -177,6 +178,28 @@ def test_gru_carries_state_and_is_proper():
     assert len(gru.score(model, np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
 
 
+def test_gru_sums_by_word():
+    rng = np.random.default_rng(5)
+    word = rng.zipf(1.4, 3000) % 200
+    rows = rng.normal(size=(3000, 6)).astype(np.float32)
+    seen, sums = gru.sums_by_word(rows, word, 256)
+    assert sorted(seen.tolist()) == np.unique(word).tolist()
+    assert all(np.allclose(s, rows[word == w].sum(axis=0), atol=1e-3) for w, s in zip(seen, sums))
+    assert (np.bincount(word) > gru.FREQUENT).any() and (np.bincount(word) == 1).any()
+
+
+def test_gru_scoring_holds_one_step():
+    """Without gradients a step's gates are dropped with the step, so the states are what a window costs."""
+    shape = gru.Shape(128, 8)
+    model = gru.Model(shape, gru.initial(shape, np.ones(128)))
+    x, keep = np.zeros((500, 64), np.int64), np.ones((500, 64), np.float32)
+    tracemalloc.start()
+    out, _, _ = model.recur(x, keep, np.zeros((64, 8), np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * out.nbytes
+
+
 def test_gru_learns():
     shape = gru.Shape(128, 8)
     pattern = np.tile(np.arange(64, 72), 400)
