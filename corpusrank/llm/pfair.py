@@ -5,9 +5,9 @@ its weight's part of the whole, so by virtual time v a source of n blocks and we
 min(n, v w), and the sum over all sources is the slot reached.  Block j may run from (the slot of)
 virtual time j / w, rounded down, and must run before (j + 1) / w, rounded up; earliest-deadline-first
 over these windows keeps every source less than one block from the fluid mix at every slot.  Windows
-are closed forms of whole numbers; slots are laid on the driver, one number a block.  Blocks are as large
-as it takes to keep their number under ``MAX_BLOCKS``; what sources are there, with their sizes, is
-known to the driver too.
+are closed forms of whole numbers; slots follow one another, so one task lays them, a stretch of slots
+at a time, and writes them as a table with a row a block.  What sources are there, with their sizes, is
+known to the driver.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import broadcast_if_small, fresh_name, materialise, with_unique_key
@@ -26,8 +27,10 @@ from .storage import broadcast_if_small, fresh_name, materialise, with_unique_ke
 BLOCK_DOCS = 16
 PERIOD = 4096
 FINEST = 1 << 40
-MAX_BLOCKS = 1 << 21
-"""Blocks that the driver lays at most (16 MB of slots), besides one for each source; a larger corpus has larger blocks, so the plan doesn't grow with it."""
+MAX_BLOCKS: int | None = None
+"""Only where it is set: the most blocks there may be besides one for each source; a larger corpus then has larger blocks."""
+STRETCH = 1 << 18
+"""Blocks that are laid together (or as many as there are sources, if those are more)."""
 TASK_ROWS = 20_000
 
 
@@ -45,23 +48,22 @@ def apportion(weights: list[float], period: int) -> list[int]:
     return shares
 
 
-def earliest_deadline(release: np.ndarray, deadline: np.ndarray, step: int) -> np.ndarray:
-    """Slots of blocks, earliest deadline first among released ones, ties by place; ``step`` blocks are laid at a time.
+def earliest_deadline(release: np.ndarray, order: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Slots of blocks among ``first`` .. ``end`` - 1, in the given order by deadline among released ones; ``end`` for those that find none.
 
     A block doesn't move those of earlier deadlines, so each takes the first slot they leave from its release on.
     """
-    order = np.argsort(deadline, kind="stable")
-    free = array("q", range(len(release) + 1))  # a slot, or one nearer to the first free slot after it
-    slots = np.empty(len(release), np.int64)
-    for low in range(0, len(order), step):
-        part, found = order[low : low + step], []
-        for t in release[part].tolist():
-            while free[t] != t:
-                free[t] = t = free[free[t]]
+    last = end - first
+    free = array("q", range(last + 1))  # a slot, or one nearer to the first free slot after it
+    found = array("q")
+    for t in np.clip(release[order] - first, 0, last).tolist():
+        while free[t] != t:
+            free[t] = t = free[free[t]]
+        if t < last:
             free[t] = t + 1
-            found.append(t)
-        slots[part] = found
-    assert (slots < deadline).all()
+        found.append(t)
+    slots = np.empty(len(release), np.int64)
+    slots[order] = np.frombuffer(found, np.int64) + first if len(found) else 0
     return slots
 
 
@@ -76,38 +78,29 @@ class Stretch:
 class Plan:
     """Slots of all blocks of all sources.
 
-    ``period`` is the least sum of the whole shares that weights are rounded to; the sum is as large
-    as 64 bits allow, so over all blocks the rounding moves a source by far less than a block.
+    ``period`` is the least sum of the whole shares that weights are rounded to; the sum is so large
+    that over all blocks the rounding moves a source by far less than a block.
     """
 
     def __init__(self, docs: list[int], weights: list[float], block_docs: int, period: int = PERIOD):
         self.block_docs = block_docs
-        self.blocks = np.array([-(-n // block_docs) for n in docs], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(self.blocks)]).astype(np.int64)
-        slots = int(self.base[-1])
-        self.shares = np.array(apportion(weights, max(period, 4 * len(docs), min(FINEST, (1 << 61) // max(1, slots)))) if docs else [], np.int64)
+        self.docs = np.array(docs, np.int64)
+        self.blocks = -(-self.docs // block_docs)
+        self.shares = np.array(apportion(weights, max(period, 4 * len(docs), FINEST)) if docs else [], np.int64)
         self.period = int(self.shares.sum())
         self.stretches = [[Stretch(0, int(a))] for a in self.shares]
+        # Products of blocks and shares that need more than 64 bits are made of Python's whole numbers.
+        self.kind = np.int64 if self.period * (int(self.blocks.max(initial=0)) + 1) < 1 << 62 else object
         # Sources by the virtual time at which they end; before each end, the blocks of ended sources and the shares of the others.
         self.ends = np.argsort(self.blocks / self.shares, kind="stable")
         self.end_times = (self.blocks / self.shares)[self.ends]
         self.ended = np.concatenate([[0], np.cumsum(self.blocks[self.ends])]).astype(np.int64)
         self.running = self.period - np.concatenate([[0], np.cumsum(self.shares[self.ends])]).astype(np.int64)
-        owner = np.repeat(np.arange(len(docs)), self.blocks)
-        block = np.arange(slots) - self.base[owner]
-        release, deadline = self.windows(owner, block)
-        self.slots = earliest_deadline(release, deadline, max(1, period))
-        last = self.slots[self.base[1:][self.blocks > 0] - 1]
-        missing = (-np.array(docs, np.int64) % block_docs)[self.blocks > 0]
-        short = np.argsort(last)
-        short = short[missing[short] > 0]
-        self.short_slots = last[short]
-        self.missing = np.concatenate([[0], np.cumsum(missing[short])]).astype(np.int64)
 
     def _reached(self, source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of virtual time block / share: whole part, and whether there is a rest."""
-        share = self.shares[source]
-        at = np.searchsorted(self.end_times, block / share)
+        at = np.searchsorted(self.end_times, block / self.shares[source])
+        block, share = block.astype(self.kind), self.shares[source].astype(self.kind)
         while True:  # exact, where division isn't
             here = self.ends[np.minimum(at, len(self.ends) - 1)]
             late = (at < len(self.ends)) & (block * self.shares[here] > self.blocks[here] * share)
@@ -116,8 +109,8 @@ class Plan:
             if not (late | early).any():
                 break
             at = at + late - early
-        whole, rest = np.divmod(block * self.running[at], share)
-        return self.ended[at] + whole, rest > 0
+        reached = block * self.running[at]
+        return self.ended[at] + (reached // share).astype(np.int64), reached % share > 0
 
     def windows(self, source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Release and deadline of blocks: slots of the fluid mix between which it runs them."""
@@ -125,15 +118,72 @@ class Plan:
         whole, rest = self._reached(source, block + 1)
         return release, whole + rest
 
+    def laid(self, stretch: int = STRETCH) -> Iterator[dict[str, np.ndarray]]:
+        """All blocks in the order of their slots, about ``stretch`` at a time: source, block, release, deadline, slot, and position of the first document.
+
+        Blocks of a virtual time are met first, and laid as far as none that isn't met may run.
+        """
+        slots, stretch, sources = int(self.blocks.sum()), max(stretch, len(self.blocks)), np.arange(len(self.blocks))
+        at_ends = self.ended[:-1] + self.end_times * self.running[:-1]  # the slots at which sources end, about
+        met = np.zeros(len(self.blocks), np.int64)
+        source, block, release, deadline = (np.zeros(0, np.int64) for _ in range(4))
+        first = target = position = 0
+        while first < slots:
+            target += stretch
+            if target < slots:
+                at = min(int(np.searchsorted(at_ends, target)), len(self.ends) - 1)
+                time = (target - self.ended[at]) / max(1, self.running[at])
+                upto = np.maximum(met, np.minimum(self.blocks, np.ceil(time * self.shares).astype(np.int64)))
+            else:
+                upto = self.blocks
+            more = upto - met
+            new = np.repeat(sources, more)
+            number = np.arange(len(new)) - np.repeat(np.cumsum(more) - more - met, more)
+            windows = self.windows(new, number)
+            source, block, release, deadline = (np.concatenate(x) for x in zip((source, block, release, deadline), (new, number, *windows)))
+            met, left = upto, np.flatnonzero(upto < self.blocks)
+            end = int(self.windows(left, met[left])[0].min()) if len(left) else slots
+            if end <= first:
+                continue
+            slot = earliest_deadline(release, np.lexsort((block, source, deadline)), first, end)
+            order = np.argsort(slot, kind="stable")[: end - first]
+            assert (slot[order] == np.arange(first, end)).all() and (slot[order] < deadline[order]).all()
+            out = {c: x[order] for c, x in (("source", source), ("block", block), ("release", release), ("deadline", deadline), ("slot", slot))}
+            rows = np.minimum(self.block_docs, self.docs[out["source"]] - out["block"] * self.block_docs)
+            after = position + np.cumsum(rows)
+            yield out | {"position": after - rows}
+            first, position = end, int(after[-1])
+            wait = slot >= end
+            source, block, release, deadline = (x[wait] for x in (source, block, release, deadline))
+
+    @cached_property
+    def _whole(self) -> dict[str, np.ndarray]:
+        """All blocks, by source and number."""
+        parts = list(self.laid())
+        whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        order = np.lexsort((whole["block"], whole["source"]))
+        return {c: x[order] for c, x in whole.items()}
+
     def place(self, source: int | np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
-        """Block, release, deadline, slot and position of documents, by their sources and their ranks in those."""
-        block = rank // self.block_docs
-        source = np.broadcast_to(np.asarray(source, np.int64), block.shape)
-        release, deadline = self.windows(source, block)
-        slot = self.slots[self.base[source] + block]
-        # Blocks before this slot are full, but for the last ones of sources that ended.
-        before = self.missing[np.searchsorted(self.short_slots, slot)]
-        return {"block": block, "release": release, "deadline": deadline, "slot": slot, "position": slot * self.block_docs - before + rank % self.block_docs}
+        """Block, release, deadline, slot and position of documents, by their sources and their ranks in those; for plans that fit the memory."""
+        at = (np.cumsum(self.blocks) - self.blocks)[source] + rank // self.block_docs
+        out = {c: self._whole[c][at] for c in ("block", "release", "deadline", "slot", "position")}
+        return out | {"position": out["position"] + rank % self.block_docs}
+
+
+_BLOCKS = {"code": "source", "block": "block", "release": "release", "deadline": "deadline", "slot": "slot", "first": "position"}
+
+
+def _blocks(spark: SparkSession, plan: Plan) -> DataFrame:
+    """The plan's blocks as a table."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        for part in plan.laid():
+            yield pa.RecordBatch.from_pydict({c: part[name] for c, name in _BLOCKS.items()})
+
+    return materialise(spark.range(1, numPartitions=1).mapInArrow(lay, ", ".join(f"{c} long" for c in _BLOCKS)), "blocks")
 
 
 def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,11 +234,11 @@ def mix_positions(rows: DataFrame, weights: Mapping[str | None, float] | None, a
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be positive")
     rest = min(given.values(), default=1.0)
-    block_docs = max(block_docs, -(-sum(totals.values()) // MAX_BLOCKS))
+    if MAX_BLOCKS:
+        block_docs = max(block_docs, -(-sum(totals.values()) // MAX_BLOCKS))
     plan = Plan([totals[s] for s in names], [given.get(s, rest) for s in names], block_docs, period)
     at = {s: i for i, s in enumerate(names)}
     start = {(task, at[s]): n for task, s, n in offsets}
-    columns = ("block", "release", "deadline", "slot", "position")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,11 +247,13 @@ def mix_positions(rows: DataFrame, weights: Mapping[str | None, float] | None, a
             code = np.array([at[s] for s in codes.dictionary.to_pylist()], np.int64)[codes.indices.to_numpy(zero_copy_only=False)] if len(task) else np.zeros(0, np.int64)
             pairs, which = np.unique(task * len(names) + code, return_inverse=True)
             first = np.array([start[divmod(p, len(names))] for p in pairs.tolist()], np.int64)
-            out = plan.place(code, local + first[which])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("source"), *(pa.array(out[c]) for c in columns)], names=["k", "source", *columns])
+            block, rest = np.divmod(local + first[which], block_docs)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("source"), pa.array(code), pa.array(block), pa.array(rest)], names=["k", "source", "code", "block", "rest"])
 
     kind = rows.schema["source"].dataType.simpleString()
-    return numbered.mapInArrow(place, f"k long, source {kind}, " + ", ".join(f"{c} long" for c in columns))
+    ranked = numbered.mapInArrow(place, f"k long, source {kind}, code long, block long, rest long")
+    joined = ranked.join(broadcast_if_small(_blocks(rows.sparkSession, plan)), ["code", "block"])
+    return joined.select("k", "source", "block", "release", "deadline", "slot", (F.col("first") + F.col("rest")).alias("position"))
 
 
 def mix_schedule(
@@ -215,7 +267,7 @@ def mix_schedule(
     positions are 0..n-1.  Within a source rows follow their ids; rows that repeat an id stand next
     to each other, in any order; null ids go by a generated key.  A null source is a source.
     Texts aren't read.  There may be any number of sources; with ``max_sources``, more raise
-    ValueError.  Blocks have ``block_docs`` documents, or more where ``MAX_BLOCKS`` asks for it.  Ids
+    ValueError.  Blocks have ``block_docs`` documents, whatever the size of the table.  Ids
     may be of any atomic type; other columns are ignored; an empty table has no rows.
     """
     keyed = with_unique_key(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source")), "id", "k")

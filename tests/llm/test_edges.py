@@ -258,6 +258,13 @@ def test_mix_blocks_grow(spark, monkeypatch):
     assert mixed.columns == docs.columns and mixed.agg(F.sum("mix_key"), F.sum("mix_position")).first() == (1000, 2000)
 
 
+def test_mix_blocks_keep_their_size(spark):
+    """Blocks are as large as asked for, in a table of more than two million blocks too."""
+    rows = pfair.mix_schedule(spark.range(2_200_000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source"), block_docs=1)
+    got = rows.agg(F.count("*"), F.sum((F.col("slot") != F.col("position")).cast("int")), F.max("position"), F.sum("position"), F.max(F.when(F.col("source") == "a", F.col("block"))), F.min(F.col("deadline") - F.col("slot"))).first()
+    assert got[:5] == (2_200_000, 0, 2_199_999, 2_200_000 * 2_199_999 // 2, 549_999) and got[5] > 0
+
+
 def test_tokens_of_one_key(spark, tokenizer):
     """Very many rows of one id, and without one, spread over shards and always come in the same order."""
     docs = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "concat('text ', id % 1500) as text")

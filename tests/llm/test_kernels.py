@@ -141,6 +141,37 @@ def test_pfair_exact_over_many_periods():
         assert max(abs(np.searchsorted(s, t) - f) for s, f in zip(placed, fluid)) < 1.0001
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.floats(0.05, 5)), min_size=1, max_size=6))
+def test_pfair_laid_by_stretches(sources):
+    """Earliest deadline first, slot by slot, whatever number of blocks is laid at a time."""
+    docs, weights = [n for n, _ in sources], [w for _, w in sources]
+    plan = pfair.Plan(docs, weights, 3)
+    owner = np.repeat(np.arange(len(docs)), plan.blocks)
+    block = np.concatenate([np.arange(n) for n in plan.blocks])
+    left = sorted(zip(*(x.tolist() for x in (plan.windows(owner, block)[1], owner, block, plan.windows(owner, block)[0]))))
+    want, position = [], 0
+    for slot in range(len(left)):
+        deadline, source, number, release = best = next(b for b in left if b[3] <= slot)
+        left.remove(best)
+        want.append((source, number, release, deadline, slot, position))
+        position += min(3, docs[source] - 3 * number)
+    for stretch in (1, 10, 10**6):
+        parts = list(plan.laid(stretch))
+        assert [r for p in parts for r in zip(*(p[c].tolist() for c in ("source", "block", "release", "deadline", "slot", "position")))] == want
+
+
+def test_pfair_windows_of_large_sources():
+    """Exact where products take more than 64 bits."""
+    plan = pfair.Plan([1 << 40, 1 << 34, 5], [1.0, 0.3, 0.7], 1)
+    assert plan.kind is object
+    ended, share = 5 + (1 << 34), int(plan.shares[0])
+    block = np.array([(1 << 40) - 1, (1 << 39) + 12_345, 7])
+    release, deadline = plan.windows(np.zeros(3, np.int64), block)
+    assert release[:2].tolist() == [ended + int(b) for b in block[:2]] and deadline[:2].tolist() == [ended + int(b) + 1 for b in block[:2]]
+    assert (release[2], deadline[2]) == (7 * plan.period // share, -(-8 * plan.period // share))
+
+
 def test_pfair_limits():
     assert sum(pfair.apportion([1e-9, 5, 1], 64)) == 64 and min(pfair.apportion([1e-9, 5, 1], 64)) == 1
 
