@@ -149,7 +149,8 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         raw = values.to_numpy(np.float64).view(np.int64)
         return pd.Series(np.where(raw < 0, raw ^ np.int64(0x7FFFFFFFFFFFFFFF), raw))
 
-    left = keys.where("key is not null").select(ordered("key").alias("o"))
+    # Written: a filter on what the function gives would run it again in the same task, on a second Python worker that stays.
+    left = materialise(keys.where("key is not null").select(ordered("key").alias("o")), "ordered")
     found = None
     for shift in (48, 32, 16, 0):
         rows = left if found is None else left.where(F.shiftright("o", shift + 16) == found)

@@ -25,6 +25,8 @@ from .wordids import encoder
 
 END_ID = 1
 SHARD_BYTES = 32 << 20
+PIECE_BYTES = 1 << 20
+"""Text that is encoded at a time; numpy's temporaries are some 40 times as large, in every running task."""
 KEYS_PER_PART = 65_536
 _MANIFEST = "shard long, name string, n_docs long, n_ids long"
 
@@ -44,6 +46,11 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (bt.mix(keys.astype(bt.U64) ^ bt.U64(0x2545F4914F6CDD1D)) % bt.U64(parts)).astype(np.int64)
 
 
+def _own(column: pa.Array) -> pa.Array:
+    """A copy: a column as it arrives shares one buffer with its batch, so keeping it would keep the batch's texts too."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def _write_keys(uri: str, keys: pa.Array, lengths: np.ndarray) -> None:
     table = pa.record_batch([keys.cast(pa.int64()), pa.array(lengths, pa.int64())], names=["key", "n_tokens"])
     with _open_out(uri) as out, pa.ipc.new_file(out, table.schema) as writer:
@@ -117,7 +124,7 @@ def write_store(
         enc = encoder(tokenizer)
         all_keys, lengths, n_ids, out = [], [], 0, None
         for batch in batches:
-            for part, data, offsets in bt.pieces(batch, "text"):
+            for part, data, offsets in bt.pieces(batch, "text", PIECE_BYTES):
                 ids, counts = enc.encode(data, offsets)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, END_ID)
@@ -125,7 +132,7 @@ def write_store(
                     out = _open_out(f"{path}/{name}.ids")
                 out.write(ids.tobytes())
                 n_ids += len(ids)
-                all_keys.append(part.column("key"))
+                all_keys.append(_own(part.column("key")))
                 lengths.append(counts + 1)
         if out is not None:
             out.close()
@@ -140,7 +147,7 @@ def write_store(
     n_parts = -(-total // keys_per_part)
     if not total:
         return TokenStore(path, shards, [], dtype)
-    places = _shard_frame(spark, shards).mapInArrow(_places(path, n_parts), "part long, key long, shard long, offset long, n_tokens long")
+    places = _shard_frame(spark, shards).mapInArrow(_places(path, [name for name, _, _ in shards], n_parts), "part long, key long, shard long, offset long, n_tokens long")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,15 +179,15 @@ def _fill_parts(path: str, names: dict[int, str], n_parts: int) -> list[str]:
 
 
 def _shard_frame(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
-    frame = spark.createDataFrame([(i, name) for i, (name, _, _) in enumerate(shards)], "shard long, name string")
-    return frame.repartitionByRange(len(shards), "shard")
+    """The shards' numbers, one a task.  Rows made from Python objects would start Python workers of another kind beside those that run."""
+    return spark.range(0, len(shards), 1, len(shards)).withColumnRenamed("id", "shard")
 
 
-def _places(path: str, n_parts: int):
+def _places(path: str, names: list[str], n_parts: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("name").to_pylist()):
-                key, known, size = _read_keys(f"{path}/{name}.keys")
+            for shard in batch.column("shard").to_pylist():
+                key, known, size = _read_keys(f"{path}/{names[shard]}.keys")
                 part = np.where(known, _part_of(key, n_parts), -1)
                 yield pa.RecordBatch.from_pydict({"part": part, "key": key, "shard": np.full(len(key), shard), "offset": np.cumsum(size) - size, "n_tokens": size})
 
@@ -198,12 +205,13 @@ def read_store(spark: SparkSession, store: TokenStore, id_col: str = "doc_id") -
     if not store.shards:
         return spark.createDataFrame([], schema)
     path, dtype, base, parts, n_parts = store.path, store.dtype, store.base, store.parts, len(store.parts)
+    names = [name for name, _, _ in store.shards]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("name").to_pylist()):
-                key, known, size = _read_keys(f"{path}/{name}.keys")
-                system, at = fs.FileSystem.from_uri(f"{path}/{name}.ids")
+            for shard in batch.column("shard").to_pylist():
+                key, known, size = _read_keys(f"{path}/{names[shard]}.keys")
+                system, at = fs.FileSystem.from_uri(f"{path}/{names[shard]}.ids")
                 crcs = np.empty(len(key), np.int64)
                 with system.open_input_stream(at, buffer_size=1 << 20) as file:
                     for i, n in enumerate(size.tolist()):

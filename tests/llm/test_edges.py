@@ -181,6 +181,15 @@ def test_kth_largest(spark):
     assert resample.kth_largest(df, 11) == -np.inf and resample.kth_largest(df, 0) == np.inf
 
 
+def test_kth_largest_keeps_python_out_of_its_passes(spark, monkeypatch):
+    """No pass runs Python: with the filter on what the function gives, each task held two workers."""
+    df = spark.range(1000).selectExpr("cast(id as double) as key")
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or collect(d))
+    assert resample.kth_largest(df, 10) == 990.0
+    assert len(plans) == 4 and not any("Python" in p or "ArrowEval" in p for p in plans)
+
+
 def brute_runs(docs, min_lines, min_words):
     """Deleted lines: those in any run that has occurred before, of any length, with enough lines and words."""
     lines = {k: [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)] for k, t in docs}
@@ -278,6 +287,60 @@ def test_tokens_of_one_key(spark, tokenizer):
     assert sorted((r["doc_id"] or 0, r["indexed"]) for r in named.collect()) == [(0, False), (12, True)]
 
 
+def test_tokens_start_no_other_workers(spark, tokenizer):
+    """The shards' rows come from the JVM; made from Python objects they start a second kind of worker, which stays beside the first."""
+    store = token_store.write_store(spark.range(50).selectExpr("id as doc_id", "concat('text ', id) as text"), tokenizer)
+    assert len(store.shards) > 1
+    rows = token_store.read_store(spark, store)
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString() and rows.where("indexed").count() == 50
+
+
+def test_tokens_keep_no_texts(spark, tmp_path, tokenizer):
+    """A task that writes a shard keeps the keys of its batches, not their texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    held, seen = [], []
+
+    class Frame:
+        """Stands for the sorted rows: takes the task's function, and stops there."""
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, function, schema):
+            held.append(function)
+            raise InterruptedError
+
+    docs = spark.range(4).selectExpr("id as doc_id", "'x' as text")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "repartitionByRange", lambda *a: Frame())
+        with pytest.raises(InterruptedError):
+            token_store.write_store(docs, tokenizer)
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch({"key": pa.array([1, None, 3], pa.int64()), "text": ["word " * 50_000] * 3})
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        for _ in range(20):
+            out.write_batch(batch)
+    (tmp_path / "batches").write_bytes(sink.getvalue().to_pybytes())
+    del sink
+
+    def batches():
+        with open(tmp_path / "batches", "rb") as file:
+            for b in pa.ipc.open_stream(file):
+                yield b
+                seen.append(tracemalloc.get_traced_memory()[0])
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 0})())
+        tracemalloc.start()
+        assert [b.column("n_docs").to_pylist() for b in held[0](batches())] == [[60]]
+        tracemalloc.stop()
+    assert len(seen) == 20 and seen[-1] - seen[1] < 4 * batch.nbytes
+
+
 def test_mix_many_sources(spark, tmp_path):
     from corpusrank.llm import queries as q
 
