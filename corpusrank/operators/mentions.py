@@ -124,12 +124,15 @@ def dedup_submissions(submissions: DataFrame, domains: DataFrame | None = None,
 
 
 def relevance(sentences: DataFrame, span_map: DataFrame, postings_: DataFrame, model: Perceptron) -> DataFrame:
-    """``sentences(month, id, title)`` -> (month, node_id, relevance): weights of the terms found, each by how noun-like its words are."""
+    """``sentences(month, id, title)`` -> (month, node_id, relevance): weights of the terms found, each by how noun-like its words are.
+
+    A term's finds are summed for each month before its nodes join, so a term of many finds and many nodes costs their sum, not their product.
+    """
     words = sentences.select("month", "id", exprs.normalised_words(F.col("title")).alias("words"))
     scored = words.withColumn("nouns", noun_scores(tag_words(model)(F.col("words")), F.col("words")))
-    found = spans(scored, span_map).join(scored.select("month", "id", "nouns"), "id").join(postings_, "term")
-    value = F.col("weight") * exprs.span_mean(F.col("nouns"), F.col("pos"), F.col("width"))
-    return found.groupBy("month", "node_id").agg(F.sum(value).alias("relevance"))
+    found = spans(scored, span_map).join(scored.select("month", "id", "nouns"), "id")
+    sums = found.groupBy("month", "term").agg(F.sum(exprs.span_mean(F.col("nouns"), F.col("pos"), F.col("width"))).alias("nouns"))
+    return sums.join(postings_, "term").groupBy("month", "node_id").agg(F.sum(F.col("weight") * F.col("nouns")).alias("relevance"))
 
 
 def quarters(monthly: DataFrame, month: str = "month") -> DataFrame:

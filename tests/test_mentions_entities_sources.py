@@ -20,6 +20,18 @@ def test_spans(spark):
     assert sorted(r["term"] for r in found.collect()) == sorted(["new york city", "new york", "new", "york city", "york", "city"])
 
 
+def test_relevance_of_a_common_term_is_not_a_product(spark):
+    """3,000 finds of a term with 3,000 nodes reach their join as one row a month."""
+    n = 3000
+    sentences = spark.range(n).selectExpr("concat('m', id % 2) as month", "id", "'red x' as title")
+    nodes = spark.range(n).selectExpr("'red' as term", "id as node_id", "cast(0.5 as float) as weight")
+    got = mentions.relevance(sentences, spark.createDataFrame([("red", 1)], "word string, width int"), nodes, tagger.Perceptron())
+    assert got.count() == 2 * n and {round(r["relevance"], 6) for r in got.collect()} == {round(0.5 * n / 2 * 20 / (0.025 + 20), 6)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last_join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert any("Aggregate [month" in line for line in plan[last_join + 1 : last_join + 4])
+
+
 def test_quarters_count_from_the_end(spark):
     months = spark.createDataFrame([(f"2020-0{i}",) for i in range(1, 8)], "month string")
     sizes = mentions.quarters(months).groupBy("quarter").count().orderBy("quarter").collect()
