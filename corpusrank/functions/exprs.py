@@ -106,10 +106,15 @@ def softmax(scores: Column, temperature: float = 0.5) -> Column:
     return bound(scores, lambda s: bound(F.array_max(s), lambda top: bound(F.transform(s, lambda x: F.exp((x - top) * temperature)), shares)))
 
 
-def noun_score(probabilities: Column, observations: Column, word: Column, weight: float = 20.0) -> Column:
+def noun_mix(score: Column, observations: Column, word: Column, weight: float = 20.0) -> Column:
     """How surely a word is a proper noun: model score and an alphabetic prior; the denominator holds the score, as established."""
     prior = F.rlike(word, F.lit(r"^\p{IsAlphabetic}*$")).cast("double")
-    return bound(bound(probabilities, lambda p: F.greatest(F.element_at(p, 17), F.element_at(p, 18))), lambda score: (score * observations + prior * weight) / (score + weight))
+    return (score * observations + prior * weight) / (score + weight)
+
+
+def noun_score(probabilities: Column, observations: Column, word: Column, weight: float = 20.0) -> Column:
+    """:func:`noun_mix` of the larger of the proper nouns' probabilities."""
+    return bound(bound(probabilities, lambda p: F.greatest(F.element_at(p, 17), F.element_at(p, 18))), lambda score: noun_mix(score, observations, word, weight))
 
 
 def span_mean(values: Column, pos: Column, width: Column) -> Column:

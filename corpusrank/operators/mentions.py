@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.tagger import Perceptron, Trainer, predict
+from ..functions.tagger import Perceptron, Scorer, Trainer, noun_share, predict
 
 EARLY = (5.0, 4.0, 2.0, 1.0)
 """Multipliers of a disambiguation page's first four destinations."""
 
+PACKED = 4096
+"""Sentences of a run in which the tagger's training data pass through the driver."""
+
 
 def terms(titles: DataFrame) -> DataFrame:
     """``titles(title, node_id)`` -> (term, node_id)."""
@@ -92,11 +98,29 @@ def spans(sentences: DataFrame, span_map: DataFrame, id_: str = "id") -> DataFra
     return every.join(sentences, id_).select(id_, "pos", "width", F.array_join(F.slice("words", F.col("pos") + 1, F.col("width")), " ").alias("term"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (words, tags) in order -> for each run of them the different sentences, and for each row which one it is."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PACKED):
+            part = batch.slice(start, PACKED)
+            numbers: dict[tuple, int] = {}
+            codes = [numbers.setdefault((tuple(w), tuple(t)), len(numbers)) for w, t in zip(part["words"].to_pylist(), part["tags"].to_pylist())]
+            columns = [pa.array([list(map(list, column))], kind) for column, kind in zip(zip(*numbers), (pa.list_(pa.list_(pa.string())), pa.list_(pa.list_(pa.int32()))))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([np.array(codes, np.int32).tobytes()], pa.binary())], names=["words", "tags", "codes"])
+
+
 def train_tagger(sentences: DataFrame, order: str) -> tuple[Perceptron, float]:
-    """``sentences(words, tags)`` in the order of ``order`` -> model and training accuracy.  Online training is sequential: sentences stream through the driver one by one."""
+    """``sentences(words, tags)`` in the order of ``order`` -> model and training accuracy.
+
+    Online training is sequential: sentences pass through the driver in order, in runs whose different sentences come once.
+    """
     trainer = Trainer()
-    for row in sentences.orderBy(order).select("words", "tags").toLocalIterator():
-        trainer.learn(row["words"], row["tags"])
+    ordered = sentences.orderBy(order).select("words", F.col("tags").cast("array<int>").alias("tags"))
+    packed = ordered.mapInArrow(_pack, "words array<array<string>>, tags array<array<int>>, codes binary")
+    for row in packed.toLocalIterator(prefetchPartitions=True):
+        known = list(zip(row["words"], row["tags"]))
+        for code in np.frombuffer(row["codes"], np.int32).tolist():
+            trainer.learn(*known[code])
     return trainer.finish()
 
 
@@ -115,6 +139,21 @@ def noun_scores(tagged: F.Column, words: F.Column) -> F.Column:
     return F.zip_with(tagged, words, lambda t, w: exprs.noun_score(exprs.softmax(F.transform(t["scores"], lambda s: s.cast("double"))), t["observations"].cast("double"), w))
 
 
+def word_nouns(model: Perceptron):
+    """Column function: an array of words -> array of the words' noun scores, as :func:`noun_scores` of :func:`tag_words` gives them.
+
+    Only a share and a count of each word leave Python, and a context of words is scored once.
+    """
+
+    @F.pandas_udf("array<struct<share:double,observations:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model, lambda scores, seen: {"share": noun_share(scores), "observations": float(seen)})
+        for sentences in batches:
+            yield pd.Series([None if w is None else scorer(list(w)) for w in sentences], dtype=object)
+
+    return lambda words: F.zip_with(run(words), words, lambda t, w: exprs.noun_mix(t["share"], t["observations"], w))
+
+
 def dedup_submissions(submissions: DataFrame, domains: DataFrame | None = None, source: str = "file") -> DataFrame:
     """Submissions with url and title, of whitelisted domains if given, one per host and path in each source file."""
     whole = submissions.where("url is not null and title is not null").withColumn("host", exprs.url_host(F.col("url"))).withColumn("path", exprs.url_path(F.col("url")))
@@ -129,7 +168,7 @@ def relevance(sentences: DataFrame, span_map: DataFrame, postings_: DataFrame, m
     A term's finds are summed for each month before its nodes join, so a term of many finds and many nodes costs their sum, not their product.
     """
     words = sentences.select("month", "id", exprs.normalised_words(F.col("title")).alias("words"))
-    scored = words.withColumn("nouns", noun_scores(tag_words(model)(F.col("words")), F.col("words")))
+    scored = words.withColumn("nouns", word_nouns(model)(F.col("words")))
     found = spans(scored, span_map).join(scored.select("month", "id", "nouns"), "id")
     sums = found.groupBy("month", "term").agg(F.sum(exprs.span_mean(F.col("nouns"), F.col("pos"), F.col("width"))).alias("nouns"))
     return sums.join(postings_, "term").groupBy("month", "node_id").agg(F.sum(F.col("weight") * F.col("nouns")).alias("relevance"))

@@ -40,6 +40,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by ``key`` to some tasks for each core, for steps that compute much on few bytes: a file of one row group is one task to read, however many rows it has."""
+    tasks = max(3 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *key)
+
+
 BROADCAST_BYTES = 8 << 20
 
 

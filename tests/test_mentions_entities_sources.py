@@ -51,6 +51,46 @@ def test_tagger():
     assert short.finish()[0].weights == {}
 
 
+def test_tagger_counts_settled_sentences_without_scoring_them(monkeypatch):
+    """The same model as when every sentence is scored, with fewer looks at features, and whatever is held."""
+    import random
+
+    draw = random.Random(3)
+    pool = [([draw.choice("abcdef") for _ in range(n)], [draw.choice([6, 10, 16]) for _ in range(n)]) for n in (0, 1, 1, 2, 2, 3, 5)]
+    lines = [draw.choice(pool) for _ in range(300)] + [pool[i % 3] for i in range(300)]
+    calls, features = [], tagger.context_features
+    monkeypatch.setattr(tagger, "context_features", lambda *a: calls.append(1) or features(*a))
+    plain = tagger.Trainer()
+    for words, tags in lines:
+        plain._learn(words, tags)
+    every = len(calls)
+    for kept in (2, 50_000):
+        calls.clear()
+        monkeypatch.setattr(tagger.Trainer, "KEPT", kept)
+        quick = tagger.Trainer()
+        for words, tags in lines:
+            quick.learn(words, tags)
+        assert quick.finish() == plain.finish() and len(calls) < every
+    model, _ = quick.finish()
+    scorer = tagger.Scorer(model, lambda scores, seen: (scores, seen))
+    assert all(scorer(words) == tagger.predict(model, words) for words, _ in lines) and len(scorer.known) <= 6 * 14
+
+
+def test_tagger_in_packed_runs(spark, monkeypatch):
+    """Sentences keep their order over runs and tasks; nouns are those of the full scores."""
+    monkeypatch.setattr(mentions, "PACKED", 3)
+    lines = [(i, [f"w{i * 7 % 5}", "x", "\u00e9t\u00e9"][: 1 + i % 3], [i % 4 + 14, 3, 17][: 1 + i % 3]) for i in range(40)]
+    df = spark.createDataFrame(lines, "id long, words array<string>, tags array<int>").repartition(5)
+    plain = tagger.Trainer()
+    for _, words, tags in lines:
+        plain._learn(words, tags)
+    model, accuracy = mentions.train_tagger(df, "id")
+    assert (model, accuracy) == plain.finish()
+    words = F.col("words")
+    got = df.select(mentions.word_nouns(model)(words).alias("a"), mentions.noun_scores(mentions.tag_words(model)(words), words).alias("b")).collect()
+    assert len(got) == 40 and all(r["a"] == pytest.approx(r["b"], rel=1e-12) for r in got)
+
+
 def test_noun_score_formula(spark):
     df = spark.createDataFrame([([0.0] * 16 + [2.0, 1.0] + [0.0] * 22, 5.0, "rome"), ([0.0] * 40, 0.0, "x1")], "s array<double>, o double, w string")
     got = [r[0] for r in df.select(exprs.noun_score(exprs.softmax(F.col("s")), F.col("o"), F.col("w"))).collect()]
