@@ -43,21 +43,29 @@ def number_articles(pages: DataFrame) -> DataFrame:
 def resolve_redirects(redirects: DataFrame, targets: DataFrame) -> DataFrame:
     """``redirects(title, target)`` and ``targets(title, node_id)`` -> (title, node_id) of redirects that lead to a target.
 
-    Pointers are doubled until none moves: a chain of n redirects takes about log2 n rounds.  After
-    as many rounds as the longest possible chain needs, only pointers in or into cycles still move;
-    they drop out, as do chains that end nowhere.  Of several targets of one title the least stays.
+    Pointers are doubled: a chain of n redirects takes about log2 n rounds.  A title that has its node
+    stays as it is, one that leads to no redirect and no target drops out, and only the others are
+    written again.  While any chain to a target is unfinished, each round finishes a title of it (the
+    one just beyond those of the round before), so a round that finishes none leaves only pointers in
+    or into cycles, or into chains that end nowhere.  Of several targets of one title the least stays.
     """
     once = redirects.where("title is not null and target is not null and title <> target").groupBy("title").agg(F.min("target").alias("target"))
-    now = materialise(once.join(targets.select("title"), "title", "left_anti"), "redirects")
-    for _ in range(now.count().bit_length() + 1):
-        ahead = now.select(F.col("title").alias("target"), F.col("target").alias("further"))
-        jumped = now.join(ahead, "target", "left").select("title", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved"))
-        jumped = materialise(jumped.where("title <> target"), "redirects")
-        moved = jumped.where("moved").limit(1).count()
-        now = jumped.select("title", "target")
-        if not moved:
+    once = once.join(targets.select("title"), "title", "left_anti")
+    ends = targets.select(F.col("title").alias("target"), "node_id", F.lit(True).alias("done"))
+    now = materialise(once.join(ends, "target", "left").select("title", "target", "node_id", F.coalesce("done", F.lit(False)).alias("done")), "redirects")
+    found = now.where("done").select("title", "node_id", "done")
+    while True:
+        rest = now.where("not done").select("title", "target", "done")
+        if not rest.limit(1).count():
             break
-    return now.join(targets.select(F.col("title").alias("target"), "node_id"), "target").select("title", "node_id")
+        ahead = found.unionByName(rest.withColumnRenamed("target", "further"), allowMissingColumns=True).withColumnRenamed("title", "target")
+        jumped = rest.drop("done").join(ahead, "target").where("done or further <> title")
+        now = materialise(jumped.select("title", F.coalesce("further", "target").alias("target"), "node_id", "done"), "redirects")
+        more = now.where("done").select("title", "node_id", "done")
+        if not more.limit(1).count():
+            break
+        found = found.unionByName(more)
+    return found.select("title", "node_id")
 
 
 def title_map(numbered: DataFrame, redirects: DataFrame) -> DataFrame:

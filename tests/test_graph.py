@@ -25,6 +25,19 @@ def test_redirect_cycles_end(spark, cycle):
     assert rows(found) == [("a", 7), ("b", 7)]
 
 
+def test_redirect_rounds_follow_the_longest_chain(spark, monkeypatch):
+    """Cycles, tails into them and chains to nowhere take no rounds of their own, and what is settled isn't written again."""
+    pairs = [(f"x{i}", f"x{i - i % 3 + (i + 1) % 3}") for i in range(300)] + [(f"t{i}", f"x{i}") for i in range(300)] + [(f"n{i}", f"n{i + 1}") for i in range(40)]
+    pairs += [(f"c{i}", f"c{i + 1}") for i in range(4)] + [("c4", "C")] + [(f"d{i}", "D") for i in range(50)] + [("e", "d3")]
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    found = graph.resolve_redirects(spark.createDataFrame(pairs, "title string, target string"), spark.createDataFrame([("C", 7), ("D", 8)], "title string, node_id long"))
+    assert rows(found) == sorted([(f"c{i}", 7) for i in range(5)] + [(f"d{i}", 8) for i in range(50)] + [("e", 8)])
+    assert len(written) <= 5 and sum(w.where("target = 'D'").count() for w in written[1:]) == 0
+    assert rows(graph.resolve_redirects(spark.createDataFrame([("a", "b"), ("b", "a")], "title string, target string"), spark.createDataFrame([("C", 7)], "title string, node_id long"))) == []
+    assert rows(graph.resolve_redirects(spark.createDataFrame([("a", "b"), ("b", "C")], "title string, target string"), spark.createDataFrame([("C", None)], "title string, node_id long"))) == [("a", None), ("b", None)]
+
+
 def test_collisions(spark):
     pages = spark.createDataFrame([(5, "t", "2020"), (3, "t", "2021"), (8, "u", "2020"), (9, "u", "2020")], "id long, title string, timestamp string")
     assert rows(graph.overwritten(pages)) == [(5,), (8,)]
