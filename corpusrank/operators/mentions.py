@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..functions.tagger import Perceptron, Scorer, Trainer, noun_share, predict
+from ..storage import BROADCAST_BYTES, counted_bytes, materialise
 
 EARLY = (5.0, 4.0, 2.0, 1.0)
 """Multipliers of a disambiguation page's first four destinations."""
 
+SALTS = 32
+"""Groups of sentences that look apart for their words' widths."""
+
 PACKED = 4096
 """Sentences of a run in which the tagger's training data pass through the driver."""
 
@@ -84,18 +88,44 @@ def postings(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("term", "node_id").agg(F.max(F.col("weight").cast("float")).alias("weight"))
 
 
+def _reach(words: Iterable[str], widths: dict[str, int]) -> list[int]:
+    """For each place the most words of a span that begins there."""
+    words = list(words)
+    out, end = [], 0
+    for at, word in enumerate(words):
+        end = max(end, min(at + widths.get(word, 0), len(words)))
+        out.append(max(end - at, 0))
+    return out
+
+
 def spans(sentences: DataFrame, span_map: DataFrame, id_: str = "id") -> DataFrame:
-    """``sentences(id, words)`` -> (id, pos, width, term): every span of words that a title could fill.
+    """``sentences(id, words)`` -> (id, pos, width, term) and the sentences' other columns: every span of words that a title could fill.
 
     A word that begins titles of up to w words opens the w places from it on, each up to where such
-    a title would end.
+    a title would end.  With a map of few bytes each sentence is cut where it is, without a shuffle.
+    Else its words look for their widths; as a word may be very frequent, the map's rows are repeated
+    for ``SALTS`` groups of sentences, and only places that a span covers come back to their sentence.
     """
-    each = sentences.select(id_, F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).join(span_map, "word")
-    width = F.least(F.col("width"), F.col("n") - F.col("at"))
-    covered = each.select(id_, "at", width.alias("w")).select(id_, "at", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("i"))
-    widest = covered.groupBy(id_, (F.col("at") + F.col("i")).alias("pos")).agg(F.max(F.col("w") - F.col("i")).alias("widest"))
-    every = widest.select(id_, "pos", F.explode(F.sequence(F.lit(1), F.col("widest"))).alias("width"))
-    return every.join(sentences, id_).select(id_, "pos", "width", F.array_join(F.slice("words", F.col("pos") + 1, F.col("width")), " ").alias("term"))
+    span_map = materialise(span_map.select("word", "width"), "spans")
+    if counted_bytes(span_map) <= BROADCAST_BYTES:
+        widths = {row["word"]: row["width"] for row in span_map.collect()}
+
+        @F.pandas_udf("array<int>")
+        def reach(column: pd.Series) -> pd.Series:
+            return pd.Series([None if words is None else _reach(words, widths) for words in column], dtype=object)
+
+        widest = sentences.select("*", F.posexplode(reach("words")).alias("pos", "widest")).where("widest > 0")
+        every = widest.select("*", F.explode(F.sequence(F.lit(1), F.col("widest"))).alias("width"))
+    else:
+        salted = span_map.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int").alias("salt")
+        each = sentences.select(id_, salt, F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).join(salted, ["word", "salt"])
+        width = F.least(F.col("width"), F.col("n") - F.col("at"))
+        covered = each.select(id_, "at", width.alias("w")).select(id_, "at", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("i"))
+        widest = covered.groupBy(id_, (F.col("at") + F.col("i")).alias("pos")).agg(F.max(F.col("w") - F.col("i")).alias("widest"))
+        every = widest.join(sentences, id_).select("*", F.explode(F.sequence(F.lit(1), F.col("widest"))).alias("width"))
+    others = [c for c in sentences.columns if c not in (id_, "words")]
+    return every.select(id_, "pos", "width", F.array_join(F.slice("words", F.col("pos") + 1, F.col("width")), " ").alias("term"), *others)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +199,7 @@ def relevance(sentences: DataFrame, span_map: DataFrame, postings_: DataFrame, m
     """
     words = sentences.select("month", "id", exprs.normalised_words(F.col("title")).alias("words"))
     scored = words.withColumn("nouns", word_nouns(model)(F.col("words")))
-    found = spans(scored, span_map).join(scored.select("month", "id", "nouns"), "id")
+    found = spans(scored, span_map)
     sums = found.groupBy("month", "term").agg(F.sum(exprs.span_mean(F.col("nouns"), F.col("pos"), F.col("width"))).alias("nouns"))
     return sums.join(postings_, "term").groupBy("month", "node_id").agg(F.sum(F.col("weight") * F.col("nouns")).alias("relevance"))
 

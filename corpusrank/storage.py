@@ -49,19 +49,22 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
 BROADCAST_BYTES = 8 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the counted bytes of all rows stay under ``max_bytes``; else Spark shuffles.
-
-    Strings, binaries and arrays count with their own lengths, other columns and every row with 8
-    bytes.  ``df`` is read once for that, so it should be a written table.
-    """
+def counted_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: strings, binaries and arrays count with their own lengths, other columns and every row with 8 bytes."""
     row = F.lit(8)
     for field in df.schema.fields:
         kind = field.dataType.typeName()
         length = F.octet_length(field.name) if kind in ("string", "binary") else 8 * F.size(field.name) if kind in ("array", "map") else F.lit(8)
         row = row + F.coalesce(length, F.lit(0))
-    total = df.agg(F.sum(row.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the counted bytes of all rows stay under ``max_bytes``; else Spark shuffles.
+
+    ``df`` is read once for that, so it should be a written table.
+    """
+    return F.broadcast(df) if counted_bytes(df) <= max_bytes else df
 
 
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:

@@ -32,6 +32,19 @@ def test_relevance_of_a_common_term_is_not_a_product(spark):
     assert any("Aggregate [month" in line for line in plan[last_join + 1 : last_join + 4])
 
 
+def test_spans_of_a_small_map_move_nothing(spark, monkeypatch):
+    """Every sentence is cut in its own task; a large map gives the same spans, by a shuffle that splits a frequent word."""
+    sentences = spark.range(60).selectExpr("id", "case id when 7 then null when 8 then array() else array('new', concat('w', id % 3), 'new', 'york', 'x') end as words", "id * 2 as other")
+    widths = spark.createDataFrame([("new", 2), ("w1", 4), ("york", 1)], "word string, width int")
+    small = mentions.spans(sentences, widths)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan(small) for word in ("Join", "Aggregate"))
+    monkeypatch.setattr(mentions, "BROADCAST_BYTES", 0)
+    large = mentions.spans(sentences, widths)
+    assert "salt" in plan(large) and rows(small) == rows(large) and len(rows(small)) > 300
+    assert {r["other"] - 2 * r["id"] for r in small.collect()} == {0}
+
+
 def test_quarters_count_from_the_end(spark):
     months = spark.createDataFrame([(f"2020-0{i}",) for i in range(1, 8)], "month string")
     sizes = mentions.quarters(months).groupBy("quarter").count().orderBy("quarter").collect()
