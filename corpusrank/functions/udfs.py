@@ -10,8 +10,11 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import sql_insert
 from . import wikitext as w
@@ -30,11 +33,32 @@ class TextFunction:
         return self.udf()(*columns)
 
 
-def _of_text(kind: str, f: Callable[[str], Any]) -> TextFunction:
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
+SLICE_CHARS = 1 << 20
+"""Characters of texts whose results are Python objects at a time."""
+
+
+class SlicedFunction(TextFunction):
+    """A function of one text: results become Arrow slice by slice, as tokens take many times a text's bytes as Python objects."""
+
+    def udf(self):
+        run, kind = self.run, to_arrow_type(T.DataType.fromDDL(self.kind))
+
+        def sliced(texts: pa.Array) -> pa.Array:
+            done, held, chars = [], [], 0
+            for text in texts:
+                text = text.as_py()
+                held.append(run(text))
+                chars += len(text or "")
+                if chars >= SLICE_CHARS:
+                    done.append(pa.array(held, kind))
+                    held, chars = [], 0
+            return pa.concat_arrays([*done, pa.array(held, kind)])
 
-    return TextFunction(kind, run)
+        return F.arrow_udf(sliced, self.kind)
+
+
+def _of_text(kind: str, f: Callable[[str], Any]) -> TextFunction:
+    return SlicedFunction(kind, lambda t: None if t is None else f(t))
 
 
 def _tree(text: str) -> list[dict] | None:
@@ -93,19 +117,15 @@ EXTRACT = (
 )
 
 
-def _extract(text: str | None) -> tuple:
+def _extract(text: str | None) -> dict:
+    names = ("links", "cite_urls", "is_disambig", "hat_edges", "infobox", "short_desc", "h2")
     if text is None:
-        return (None,) * 7
+        return dict.fromkeys(names)
     t = w.tokenize(text)
-    return w.links_of(t), w.cite_urls_of(t), w.is_disambiguation_of(t), _edges(t, True), w.infobox_of(t), w.short_desc_of(t), w.h2_of(t)
-
-
-def _extract_all(texts: pd.Series) -> pd.DataFrame:
-    columns = ["links", "cite_urls", "is_disambig", "hat_edges", "infobox", "short_desc", "h2"]
-    return pd.DataFrame([_extract(t) for t in texts], columns=columns, dtype=object)
+    return dict(zip(names, (w.links_of(t), w.cite_urls_of(t), w.is_disambiguation_of(t), _edges(t, True), w.infobox_of(t), w.short_desc_of(t), w.h2_of(t))))
 
 
-wt_extract_all = TextFunction(EXTRACT, _extract_all)
+wt_extract_all = SlicedFunction(f"struct<{EXTRACT.replace(' ', ':').replace(',:', ',')}>", _extract)
 """All extractions of a page from one tokenization."""
 
 FUNCTIONS = {name: f for name, f in list(globals().items()) if isinstance(f, TextFunction)}

@@ -89,3 +89,22 @@ def test_content_is_a_subsequence(text):
 @given(st.text(alphabet=st.characters(exclude_characters="<{}[]=&", exclude_categories=["Cs"]), min_size=1))
 def test_plain_text_is_one_content(text):
     assert w.tokenize(text) == [("content", text)]
+
+
+def test_results_become_arrow_by_slices(spark, monkeypatch):
+    """No more than a slice of texts is held as Python objects; the rows are those of one slice."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from corpusrank.functions import udfs
+
+    texts = [f"<b>{i}</b> [[x{i}|y]] <!-- c -->" * 20 for i in range(50)] + [None, ""]
+    sizes, make = [], pa.array
+    monkeypatch.setattr(udfs, "SLICE_CHARS", 2000)
+    monkeypatch.setattr(udfs.F, "arrow_udf", lambda f, kind: f)
+    sliced, column = udfs.wt_tokenize.udf(), make(texts, pa.string())
+    monkeypatch.setattr(udfs.pa, "array", lambda held, kind: sizes.append(len(held)) or make(held, kind))
+    got = sliced(column).to_pylist()
+    assert got == [None if t is None else [{"kind": k, "data": d} for k, d in w.tokenize(t)] for t in texts]
+    assert sum(sizes) == len(texts) and max(sizes) <= 5
+    assert T.DataType.fromDDL(udfs.wt_extract_all.kind).fieldNames()[0] == "links"
