@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..storage import materialise
 
 _ID = re.compile(r"[A-Za-z][0-9]+")
 PAGE_BYTES = 32 << 20
 
 
-def store_tables(entities: DataFrame) -> dict[str, DataFrame]:
-    """``entities(id, title, props, json, ord)`` as entity (by key), entity_prop (by property) and entity_title (by title) tables."""
+def lookup_tables(entities: DataFrame) -> dict[str, DataFrame]:
+    """``entities(id, title, props, json, ord)`` as entity, entity_prop and entity_title tables, in any order: for queries that read them once, without a written store."""
     keyed = entities.withColumn("key", exprs.entity_key(F.col("id")))
     return {
-        "entity": keyed.select("key", "id", "ord", "json").repartitionByRange("key").sortWithinPartitions("key"),
-        "entity_prop": keyed.select(F.explode("props").alias("prop"), "key", "id").withColumn("prop_num", F.substr("prop", F.lit(2)).try_cast("bigint")).repartitionByRange("prop_num", "key").sortWithinPartitions("prop_num", "key"),
-        "entity_title": keyed.where("title is not null").groupBy("title").agg(F.max_by("key", "ord").alias("key")).repartitionByRange("title").sortWithinPartitions("title"),
+        "entity": keyed.select("key", "id", "ord", "json"),
+        "entity_prop": keyed.select(F.explode("props").alias("prop"), "key", "id").withColumn("prop_num", F.substr("prop", F.lit(2)).try_cast("bigint")),
+        "entity_title": keyed.where("title is not null").groupBy("title").agg(F.max_by("key", "ord").alias("key")),
     }
 
 
+def store_tables(entities: DataFrame) -> dict[str, DataFrame]:
+    """:func:`lookup_tables` laid out for a written store: entity by key, entity_prop by property and entity_title by title."""
+    order = {"entity": ["key"], "entity_prop": ["prop_num", "key"], "entity_title": ["title"]}
+    return {name: table.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) for name, table in lookup_tables(entities).items()}
+
+
 def write_store(entities: DataFrame, path: str) -> None:
     for name, table in store_tables(entities).items():
         table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
@@ -53,7 +60,8 @@ def id_range(store: dict[str, DataFrame], first: str, last: str, inclusive: bool
     inside = store["entity"].where(F.col("key").between(low, high))
     if inclusive:
         return inside.orderBy("key")
-    largest = store["entity"].where(F.col("key") <= high).agg(F.max("key").alias("largest"))
+    inside = materialise(inside, "range")  # the largest key up to ``last`` is one of these, if there are any
+    largest = inside.agg(F.max("key").alias("largest"))
     return inside.crossJoin(F.broadcast(largest)).where("key < largest").drop("largest").orderBy("key")
 
 

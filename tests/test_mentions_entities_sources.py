@@ -143,6 +143,18 @@ def test_entity_store(spark):
     assert len(pages) == 3 and pages[0].endswith('{"has_next": 1}') and list(entities.response_pages(entities.by_id(small, ["Q9"]))) == [""]
 
 
+def test_id_range_reads_its_entities_once(spark):
+    """One pass over the lines for any range, an empty one too."""
+    for first, last, want in (("Q3", "Q6", ["Q3", "Q4"]), ("Q6", "Q8", []), ("Q0", "Q9", ["Q1", "Q2", "Q3", "Q4"])):
+        passes = spark.sparkContext.accumulator(0)
+        tick = F.udf(lambda line: passes.add(1) or line, "string")
+        lines = spark.createDataFrame([(f'{{"id":"Q{i}"}},',) for i in range(1, 6)], "value string").select(tick("value").alias("value"))
+        tables.entities_from_json(lines).select("id").collect()
+        once = passes.value
+        found = entities.id_range(entities.lookup_tables(tables.entities_from_json(lines)), first, last)
+        assert [r["id"] for r in found.collect()] == want and passes.value == 2 * once
+
+
 def test_entity_oddities(spark):
     lines = spark.createDataFrame([('{"id":"Q1","claims":[],"sitelinks":[]},',), ("broken",), ('{"x":1}',), (None,)], "value string")
     assert [tuple(r) for r in tables.entities_from_json(lines).select("id", "title", "props").collect()] == [("Q1", None, [])]
